@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from webtrawl.functions.links import https_flag, url_root
 from webtrawl.functions.times import expiry, seconds, to_second
+from webtrawl.sources.pages import spread
 
 AS_OF = "2024-01-31 12:00:00"
 SITE_PAGES = 10
@@ -182,8 +183,9 @@ def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     k = F.get_json_object("props", "$.k")
     title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
-    titled = table(spark, sf_dir, "pages").select("page_id", title.alias("title"))
-    count = titled.count()
+    pages = table(spark, sf_dir, "pages")
+    titled = spread(pages).select("page_id", title.alias("title"))
+    count = pages.count()
     events = table(spark, sf_dir, "events").withColumn("page_id", F.col("event_id") % count)
     return events.join(titled, "page_id").select(
         F.col("event_id").alias("request_id"),

@@ -21,17 +21,3 @@ def tokens(text: Column) -> Column:
 def phrase(token_array: Column) -> Column:
     """One comparable string for a run of tokens; null where there are none."""
     return F.when(F.size(token_array) > 0, F.array_join(token_array, " "))
-
-
-def runs(token_array: Column, length: int) -> Column:
-    """Every run of ``length`` consecutive tokens as a phrase, in text order."""
-    last = F.size(token_array) - (length - 1)
-    if length == 1:
-        return token_array
-    return F.when(
-        last > 0,
-        F.transform(
-            F.sequence(F.lit(1), last),
-            lambda at: F.array_join(F.slice(token_array, at, F.lit(length)), " "),
-        ),
-    )

@@ -1,9 +1,9 @@
 """Phrase search: token tables, phrase matches, relevance, paging.
 
-Matching compares whole phrases.  A document offers each of its token runs of
-the lengths asked for, and a run either equals a phrase or not: no pairs of
-partial matches arise, so the join gives real hits only, however common the
-single words are.
+Matching compares whole runs of tokens.  A position of a document is looked up
+by its first two tokens, which tell the lengths worth trying there; the runs of
+those lengths then equal a phrase or do not.  No pairs of partial matches
+arise, so the joins give real hits only, however common the single words are.
 """
 
 from __future__ import annotations
@@ -13,15 +13,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webtrawl.functions.text import phrase, runs, tokens
+from webtrawl.functions.text import phrase, tokens
 from webtrawl.operators.ordered import TASK_ROWS, rank_rows
-from webtrawl.sources.scratch import broadcast_if_small, materialize
+from webtrawl.operators.requests import MAX_LIMIT
+from webtrawl.sources.scratch import fits_broadcast, materialize
 
 # BM25 parameters; scores are compared at this many digits.
 K1 = 1.2
 B = 0.75
 DIGITS = 6
 
+# Tokens of a phrase compared at once.
+BLOCK = 16
+
 
 def tokenise(documents: DataFrame) -> DataFrame:
     """(url, tokens, n_tokens) of (url, content)."""
@@ -37,13 +41,15 @@ def postings(tokenised: DataFrame) -> DataFrame:
     )
 
 
-def document_frequency(tokenised: DataFrame) -> DataFrame:
-    """Documents holding each term.  Terms are made distinct inside the document."""
-    return (
-        tokenised.select(F.explode(F.array_distinct("tokens")).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("documents"))
-    )
+def document_frequency(tokenised: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Documents holding each term, or each of the ``wanted`` (term) only.
+
+    Terms are made distinct inside the document and counted before they move.
+    """
+    terms = tokenised.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    if wanted is not None:
+        terms = terms.join(wanted, "term", "left_semi")
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def corpus_size(tokenised: DataFrame) -> tuple[int, float]:
@@ -62,56 +68,123 @@ def bm25(weight: Column, frequency: Column, length: Column, mean_length: float)
     return F.round(weight * frequency / (frequency + norm), DIGITS)
 
 
-def distinct_phrases(queries: DataFrame) -> DataFrame:
-    """(phrase, terms, length) of the distinct non-empty phrases in ``q``."""
+def asked_phrases(queries: DataFrame) -> DataFrame:
+    """``queries`` with the tokens of ``q`` and their phrase; those without a token drop out."""
     return (
-        queries.select(tokens(F.col("q")).alias("terms"))
+        queries.withColumn("terms", tokens(F.col("q")))
         .where(F.size("terms") > 0)
-        .select(phrase(F.col("terms")).alias("phrase"), "terms")
-        .dropDuplicates(["phrase"])
-        .withColumn("length", F.size("terms"))
+        .withColumn("phrase", phrase(F.col("terms")))
+        .drop("q")
     )
 
 
-def run_counts(tokenised: DataFrame, wanted: DataFrame, lengths: Sequence[int]) -> DataFrame:
-    """(phrase, url, n_tokens, frequency) of the wanted phrases in each document.
+def phrase_blocks(phrases: DataFrame) -> DataFrame:
+    """(phrase, offset, block, length, lead, blocks): the phrases in blocks of bounded length.
 
-    ``wanted`` has one distinct column, phrase.  While it is small it is
-    broadcast and the documents are only scanned; the counts are combined
-    before they move, so a phrase found everywhere still spreads by document.
+    A phrase longer than a block is cut into several, the last one aligned to
+    its end; it is found where all its blocks are found at their offsets.
     """
-    offered = F.flatten(F.array(*[F.coalesce(runs(F.col("tokens"), n), F.array()) for n in lengths]))
+    count = F.ceil(F.col("length") / BLOCK).cast("int")
+    last = F.greatest(F.col("length") - BLOCK, F.lit(0))
+    terms = F.col("terms")
     return (
-        tokenised.select("url", "n_tokens", F.explode(offered).alias("phrase"))
-        .join(broadcast_if_small(wanted, "phrase"), "phrase", "left_semi")
+        phrases.withColumn("blocks", count)
+        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("offset", F.least(F.col("_j") * BLOCK, last))
+        .select(
+            "phrase",
+            "blocks",
+            "offset",
+            phrase(F.slice(terms, F.col("offset") + 1, F.lit(BLOCK))).alias("block"),
+            F.least("length", F.lit(BLOCK)).alias("length"),
+            phrase(F.slice(terms, F.col("offset") + 1, F.lit(2))).alias("lead"),
+        )
+    )
+
+
+def term_counts(tokenised: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(phrase, url, n_tokens, frequency) of wanted single terms, one column ``phrase``."""
+    return (
+        tokenised.select("url", "n_tokens", F.explode("tokens").alias("phrase"))
+        .join(wanted, "phrase", "left_semi")
         .groupBy("phrase", "url", "n_tokens")
         .agg(F.count(F.lit(1)).alias("frequency"))
     )
 
 
-def score_phrases(tokenised: DataFrame, queries: DataFrame) -> DataFrame:
-    """(phrase, url, score) of every document that holds a query's phrase.
+def phrase_counts(
+    tokenised: DataFrame, leads: DataFrame, blocks: DataFrame, several: bool
+) -> DataFrame:
+    """(phrase, url, n_tokens, frequency) of phrases of two tokens or more.
 
-    One pass over the documents counts the phrases and, as runs of one token,
-    the terms they are weighted by.
+    ``leads`` holds the block lengths to try after two tokens; ``several`` tells
+    that some phrase has more than one block.  Counts are combined before they
+    move, and then spread by (phrase, url), so a phrase found everywhere is no
+    single task's work.
     """
-    phrases = materialize(distinct_phrases(queries), "phrases")
-    terms = phrases.select(F.explode("terms").alias("phrase"))
-    wanted = materialize(phrases.select("phrase").unionByName(terms).distinct(), "wanted")
-    # Distinct lengths only: at most one row for each token of the longest query.
-    lengths = sorted({1, *(r[0] for r in phrases.select("length").distinct().collect())})
-    counts = materialize(run_counts(tokenised, wanted, lengths), "counts")
+    # Tokens hold no space, so the first n of a joined run are cut off by count.
+    # Single tokens are fetched by place: ``slice`` would copy the whole list.
+    following = F.transform(
+        F.sequence(F.lit(0), F.col("n_tokens") - 1),
+        lambda at: F.concat_ws(" ", *[F.get(F.col("tokens"), at + j) for j in range(BLOCK)]),
+    )
+
+    found = (
+        tokenised.where(F.col("n_tokens") > 1)
+        .select("url", "n_tokens", F.posexplode(following).alias("_pos", "_next"))
+        .withColumn("lead", F.substring_index("_next", " ", 2))
+        .join(leads, "lead")
+        .withColumn("_length", F.explode("lengths"))
+        .where(F.col("n_tokens") - F.col("_pos") >= F.col("_length"))
+        .select("url", "n_tokens", "_pos", F.expr("substring_index(_next, ' ', _length)").alias("block"))
+        .join(blocks, "block")
+    )
+    if several:
+        start = F.col("_pos") - F.col("offset")
+        found = (
+            found.groupBy("phrase", "url", "n_tokens", "blocks", start.alias("_start"))
+            .agg(F.count(F.lit(1)).alias("_hits"))
+            .where(F.col("_hits") == F.col("blocks"))
+        )
+    return found.groupBy("phrase", "url", "n_tokens").agg(F.count(F.lit(1)).alias("frequency"))
+
+
+def score_phrases(tokenised: DataFrame, asked: DataFrame) -> DataFrame:
+    """(phrase, url, score) of every document that holds a phrase in ``asked`` (phrase, terms).
+
+    Terms, blocks and leads are at most as many as the phrases' tokens.  While
+    these are few, all three are broadcast and the documents are only scanned.
+    """
+    distinct = asked.groupBy("phrase").agg(F.any_value("terms").alias("terms"))
+    phrases = materialize(distinct.withColumn("length", F.size("terms")), "phrases")
+    size = phrases.agg(
+        F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"),
+        F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0)).alias("bytes"),
+        F.coalesce(F.max("length"), F.lit(0)).alias("longest"),
+        F.coalesce(F.min("length"), F.lit(0)).alias("shortest"),
+    ).first()
+    hint = F.broadcast if fits_broadcast(size["tokens"], size["bytes"]) else (lambda df: df)
+
+    terms = phrases.select("phrase", F.explode("terms").alias("term"))
+    blocks = phrase_blocks(phrases.where(F.col("length") > 1))
+    leads = blocks.groupBy("lead").agg(F.collect_set("length").alias("lengths"))
+    counts = phrase_counts(tokenised, hint(leads), hint(blocks), size["longest"] > BLOCK)
+    if size["shortest"] == 1:
+        one_term = phrases.where(F.col("length") == 1).select("phrase")
+        counts = counts.unionByName(term_counts(tokenised, hint(one_term)))
 
     corpus, mean_length = corpus_size(tokenised)
-    frequency = counts.groupBy("phrase").agg(F.count(F.lit(1)).alias("documents"))
+    wanted = hint(terms.select("term").distinct())
     weights = (
-        phrases.select("phrase", F.explode("terms").alias("term"))
-        .join(frequency.withColumnRenamed("phrase", "term"), "term")
+        document_frequency(tokenised, wanted)
+        .join(terms, "term")
         .groupBy("phrase")
         .agg(F.sum(idf(F.col("documents"), corpus)).alias("weight"))
     )
     score = bm25(F.col("weight"), F.col("frequency"), F.col("n_tokens"), mean_length)
-    return counts.join(weights, "phrase").select("phrase", "url", score.alias("score"))
+    return materialize(
+        counts.join(weights, "phrase").select("phrase", "url", score.alias("score")), "hits"
+    )
 
 
 def rank_hits(hits: DataFrame, keys: Sequence[str], task_rows: int = TASK_ROWS) -> DataFrame:
@@ -130,21 +203,26 @@ def search_requests(
     """(request_id, rank, url, score) for each accepted request's page of hits.
 
     ``requests`` has request_id, q, size and start.  A phrase asked for by many
-    requests is searched once, and a page of hits is cut once by exact ranks;
-    only then do the requests meet their pages, of at most ``size`` rows.
+    requests is searched once.  Ranks are cut into strips as long as the largest
+    page: a page meets the hits of the two strips it may touch, however many
+    hits there are.  Only then do the requests meet their pages.
     """
-    asked = requests.withColumn("phrase", phrase(tokens(F.col("q")))).where(
-        F.col("phrase").isNotNull()
-    )
+    columns = requests.select("request_id", "q", "start", "size")
+    # Read three times below.
+    asked = materialize(asked_phrases(columns), "asked")
     page = ["phrase", "start", "size"]
-    places = (
-        asked.select(*page)
-        .distinct()
-        .withColumn("rank", F.explode(F.sequence(F.col("start") + 1, F.col("start") + F.col("size"))))
+
+    def strip(place: Column) -> Column:
+        return F.floor(place / MAX_LIMIT)
+
+    last = F.col("start") + F.col("size") - 1
+    touched = F.array_distinct(F.array(strip(F.col("start")), strip(last)))
+    pages = asked.select(*page).distinct().withColumn("strip", F.explode(touched))
+    ranked = rank_hits(score_phrases(tokenised, asked), ["phrase"], task_rows)
+    shown = pages.join(ranked.withColumn("strip", strip(F.col("rank") - 1)), ["phrase", "strip"]).where(
+        (F.col("rank") > F.col("start")) & (F.col("rank") <= F.col("start") + F.col("size"))
     )
-    ranked = rank_hits(score_phrases(tokenised, requests), ["phrase"], task_rows)
-    pages = places.join(ranked, ["phrase", "rank"])
-    return asked.join(pages, page).select("request_id", "rank", "url", "score")
+    return asked.join(shown, page).select("request_id", "rank", "url", "score")
 
 
 def postings_hits(postings_table: DataFrame, terms: Sequence[str]) -> DataFrame:

@@ -42,6 +42,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fits_broadcast(rows: int, size: int) -> bool:
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
 def broadcast_if_small(df: DataFrame, key: str) -> DataFrame:
     """Hint a broadcast of ``df`` after counting its rows and the bytes of ``key``.
 
@@ -52,5 +56,4 @@ def broadcast_if_small(df: DataFrame, key: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.octet_length(F.col(key).cast("string"))), F.lit(0)).alias("bytes"),
     ).first()
-    small = size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES
-    return F.broadcast(df) if small else df
+    return F.broadcast(df) if fits_broadcast(size["n"], size["bytes"]) else df
