@@ -28,8 +28,11 @@ def has_large_group(df: DataFrame, keys: Sequence[str], task_rows: int = TASK_RO
     return (counts.agg(F.max("_n")).first()[0] or 0) > task_rows
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
+def _attach(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right``, matched on ``names``; nulls match too."""
+    renamed = right.withColumnsRenamed({n: f"_of_{n}" for n in names})
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_of_{n}")) for n in names])
+    return left.join(renamed, same, how).drop(*[f"_of_{n}" for n in names])
 
 
 def _placed(df: DataFrame, order: Sequence[str | Column], label: str) -> DataFrame:
@@ -91,9 +94,9 @@ def rank_rows(
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     )
-    rank = placed["_place"] - pieces["_first"] + pieces["_before"] + 1
-    return placed.join(pieces, _same(placed, pieces, [*keys, "_piece"])).select(
-        *[placed[c] for c in df.columns], rank.cast("bigint").alias(name)
+    rank = F.col("_place") - F.col("_first") + F.col("_before") + 1
+    return _attach(placed, pieces, [*keys, "_piece"]).select(
+        *df.columns, rank.cast("bigint").alias(name)
     )
 
 
@@ -112,9 +115,7 @@ def next_value(
     ranked = materialize(rank_rows(df, keys, order, "_rank", task_rows), "next")
     following = ranked.select(*keys, (F.col("_rank") - 1).alias("_rank"), F.col(value).alias(name))
     # (key, rank) is unique, so the join is even however large one key is.
-    return ranked.join(following, _same(ranked, following, [*keys, "_rank"]), "left").select(
-        *[ranked[c] for c in df.columns], following[name]
-    )
+    return _attach(ranked, following, [*keys, "_rank"], "left").select(*df.columns, name)
 
 
 def running_max(
@@ -141,7 +142,6 @@ def running_max(
         .agg(F.max(value).alias("_max"))
         .withColumn("_carry", F.max("_max").over(before))
     )
-    return local.join(pieces, _same(local, pieces, [*keys, "_piece"])).select(
-        *[local[c] for c in df.columns],
-        F.greatest(local["_local"], pieces["_carry"]).alias(name),
+    return _attach(local, pieces, [*keys, "_piece"]).select(
+        *df.columns, F.greatest("_local", "_carry").alias(name)
     )

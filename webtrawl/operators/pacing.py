@@ -62,15 +62,20 @@ def paced_schedule(
     running maximum of ``t - m * w``: no loop over rows.
 
     ``admitted`` (root, slot, at) holds the last starts of earlier batches:
-    slot ``limit - s`` is the s-th last one, ``at`` in microseconds.
+    slot ``limit - s`` is the s-th last one, ``at`` in microseconds.  A row that
+    comes later than its batch takes the earliest place after those starts.
     """
     # A slot is free only when more than the window has passed.
     w = window_seconds * MICROS + 1
-    ranked = rank_rows(arrivals, ["root"], ["ts", tie], "_i", task_rows)
+    rows = arrivals.withColumn("_at", micros(F.col("ts")))
+    if admitted is not None:
+        newest = admitted.groupBy("root").agg(F.max("at").alias("_newest"))
+        rows = rows.join(newest, "root", "left").withColumn("_at", F.greatest("_at", "_newest"))
+    ranked = rank_rows(rows, ["root"], ["_at", "ts", tie], "_i", task_rows)
     chained = (
         ranked.withColumn("_slot", ((F.col("_i") - 1) % limit).cast("int"))
         .withColumn("_m", F.floor((F.col("_i") - 1) / limit))
-        .withColumn("_slack", micros(F.col("ts")) - F.col("_m") * w)
+        .withColumn("_slack", F.col("_at") - F.col("_m") * w)
     )
     if has_large_group(arrivals, ["root"], task_rows):
         run = running_max(chained, ["root", "_slot"], "_m", "_slack", "_run", task_rows)
@@ -98,7 +103,6 @@ def last_admitted(schedule: DataFrame, admitted: DataFrame | None, limit: int =
     """The state to hand to the next batch: each root's last ``limit`` starts.
 
     Starts never fall along a root's order, so the last ones are the greatest.
-    ``max_by`` of a bounded number keeps the aggregation partial.
     """
     starts = schedule.select("root", micros(F.col("start_ts")).alias("at"))
     if admitted is not None:

@@ -76,18 +76,16 @@ def task_body(domain: Column, author_id: Column) -> Column:
     )
 
 
+def error_body(status: Column) -> Column:
+    """The JSON text of a reply without data."""
+    empty = F.create_map().cast("map<string,string>")
+    return F.to_json(F.struct(status.alias("status"), empty.alias("data")))
+
+
 def reply_body(status: Column, data: Column) -> Column:
     """The JSON text of a reply; ``data`` is a struct, left empty unless the status is ok."""
-    return F.when(
-        status == "ok", F.to_json(F.struct(status.alias("status"), data.alias("data")))
-    ).otherwise(
-        F.to_json(
-            F.struct(
-                status.alias("status"),
-                F.create_map().cast("map<string,string>").alias("data"),
-            )
-        )
-    )
+    full = F.to_json(F.struct(status.alias("status"), data.alias("data")))
+    return F.when(status == "ok", full).otherwise(error_body(status))
 
 
 def append_json(messages: DataFrame, path: str) -> None:
