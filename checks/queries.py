@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ from webtrawl.plans import search as search_plans
 from webtrawl.plans import tasks as task_plans
 from webtrawl.schemas import CRAWLER_STATS
 from webtrawl.sources import messages, pages as page_source
-from webtrawl.sources.scratch import materialize, scratch_dir
+from webtrawl.sources.scratch import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 PHRASE = "of the"
@@ -51,8 +50,8 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean text of the newest version of each page."""
-    pages = inputs.table(spark, sf_dir, "pages")
-    return index.documents_of(page_source.spread(page_source.newest_versions(pages, "page_id")))
+    outdated = page_source.outdated_versions(inputs.table(spark, sf_dir, "pages"), "page_id")
+    return index.documents_of(page_source.drop_versions(_pages(spark, sf_dir), outdated, "page_id"))
 
 
 # Pages: text, links, tokens
@@ -101,7 +100,7 @@ def normalize_links(spark, sf_dir):
 
 @query
 def page_tokens(spark, sf_dir):
-    return search.postings(search.tokenise(_documents(spark, sf_dir)))
+    return search.postings(search.tokenise(_documents(spark, sf_dir))).drop("n_tokens")
 
 
 @query
@@ -114,7 +113,7 @@ def term_document_frequency(spark, sf_dir):
 
 @query
 def search_phrase(spark, sf_dir):
-    path = f"{scratch_dir(spark)}/index-{uuid4().hex}"
+    path = scratch_path(spark, "index")
     built = index.build_index(_documents(spark, sf_dir), path, POSTING_BUCKETS)
     return search_plans.search_phrase(built, PHRASE, size=10, start=5)
 

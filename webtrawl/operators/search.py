@@ -35,9 +35,12 @@ def tokenise(documents: DataFrame) -> DataFrame:
 
 
 def postings(tokenised: DataFrame) -> DataFrame:
-    """(term, url, pos) for each token; no rows move."""
-    return tokenised.select("url", F.posexplode("tokens").alias("pos", "term")).select(
-        "term", "url", "pos"
+    """(term, url, pos, n_tokens) for each token; no rows move.
+
+    The document's length goes along, so that scoring needs no lookup of it.
+    """
+    return tokenised.select("url", "n_tokens", F.posexplode("tokens").alias("pos", "term")).select(
+        "term", "url", "pos", "n_tokens"
     )
 
 
@@ -52,10 +55,11 @@ def document_frequency(tokenised: DataFrame, wanted: DataFrame | None = None) ->
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def corpus_size(tokenised: DataFrame) -> tuple[int, float]:
-    """Number of documents and their mean length."""
-    row = tokenised.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("mean")).first()
-    return row["n"], row["mean"] or 0.0
+def corpus_size(tokenised: DataFrame) -> DataFrame:
+    """One row: the number of documents and their mean length."""
+    return tokenised.agg(
+        F.count(F.lit(1)).alias("corpus"), F.coalesce(F.avg("n_tokens"), F.lit(0.0)).alias("mean_length")
+    )
 
 
 def idf(documents: Column, corpus: int) -> Column:
@@ -173,7 +177,7 @@ def score_phrases(tokenised: DataFrame, asked: DataFrame) -> DataFrame:
         one_term = phrases.where(F.col("length") == 1).select("phrase")
         counts = counts.unionByName(term_counts(tokenised, hint(one_term)))
 
-    corpus, mean_length = corpus_size(tokenised)
+    corpus, mean_length = corpus_size(tokenised).first()
     wanted = hint(terms.select("term").distinct())
     weights = (
         document_frequency(tokenised, wanted)
@@ -226,7 +230,7 @@ def search_requests(
 
 
 def postings_hits(postings_table: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """(url, frequency) of a phrase, from a stored postings table.
+    """(url, n_tokens, frequency) of a phrase, from a stored postings table.
 
     Each posting of the j-th term votes for the start ``pos - j``; a start with
     a vote from every term is a match.  Votes are grouped by (url, start), so a
@@ -240,10 +244,10 @@ def postings_hits(postings_table: DataFrame, terms: Sequence[str]) -> DataFrame:
     )
     return (
         postings_table.where(F.col("term").isin(*places))
-        .select("url", "pos", F.explode(offsets[F.col("term")]).alias("j"))
-        .groupBy("url", (F.col("pos") - F.col("j")).alias("start"))
+        .select("url", "n_tokens", "pos", F.explode(offsets[F.col("term")]).alias("j"))
+        .groupBy("url", "n_tokens", (F.col("pos") - F.col("j")).alias("start"))
         .agg(F.count(F.lit(1)).alias("votes"))
         .where(F.col("votes") == len(terms))
-        .groupBy("url")
+        .groupBy("url", "n_tokens")
         .agg(F.count(F.lit(1)).alias("frequency"))
     )

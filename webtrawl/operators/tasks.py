@@ -89,8 +89,8 @@ def route_tasks(tasks: DataFrame, stats: DataFrame, as_of: Column) -> DataFrame:
     )
     written = F.col("action") != "skip"
     return (
-        first.join(leader, "domain")
-        .join(owned, ["domain", "author_id"], "left")
+        first.join(owned, ["domain", "author_id"], "left")
+        .join(leader, "domain")
         .withColumn("action", action)
         .select(
             F.col("_first.task_id").alias("task_id"),

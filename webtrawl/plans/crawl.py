@@ -48,7 +48,9 @@ def crawl(
         seen = seen.unionByName(hop)
         hops.append(hop.withColumn("depth", F.lit(depth)))
     reached = reduce(DataFrame.unionByName, hops)
-    known = pages.select("url").distinct().withColumn("_known", F.lit(True))
+    urls = broadcast_if_small(reached.select("url").distinct(), "url")
+    known = pages.select("url").join(urls, "url", "left_semi").distinct()
+    known = known.withColumn("_known", F.lit(True))
     state = (
         F.when(F.col("depth") == max_depth, "unvisited")
         .when(F.col("_known"), "fetched")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webtrawl.functions.html import page_text, parse_html
-from webtrawl.operators.search import document_frequency, postings, tokenise
+from webtrawl.operators.search import corpus_size, document_frequency, postings, tokenise
 
 # Postings of one bucket spread over this many files by url, so that a term
 # found everywhere is no single task's work.
@@ -17,17 +17,25 @@ _SALTS = 8
 
 @dataclass(frozen=True)
 class Index:
-    """A stored index: documents (url, tokens, n_tokens), postings, terms."""
+    """A stored index below ``path``.
 
-    documents: DataFrame
-    postings: DataFrame
-    terms: DataFrame
+    - ``documents``: url, tokens, n_tokens;
+    - ``postings``: term, url, pos, n_tokens, in folders by term bucket;
+    - ``terms``: term, documents, in folders by term bucket;
+    - ``corpus``: one row with the number of documents and their mean length.
+    """
+
+    spark: SparkSession
+    path: str
     buckets: int
 
-    def postings_of(self, terms: list[str]) -> DataFrame:
-        """The postings table cut to the buckets of ``terms``: other folders are not read."""
-        wanted = [term_bucket(F.lit(t), self.buckets) for t in terms]
-        return self.postings.where(F.col("bucket").isin(*wanted))
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def of_terms(self, name: str, terms: list[str]) -> DataFrame:
+        """The rows of ``terms`` in a table kept by bucket: other folders are not read."""
+        buckets = [term_bucket(F.lit(t), self.buckets) for t in terms]
+        return self.table(name).where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms))
 
 
 def term_bucket(term: Column, buckets: int) -> Column:
@@ -42,11 +50,13 @@ def documents_of(pages: DataFrame, exact: bool = False, **options) -> DataFrame:
 
 
 def build_index(documents: DataFrame, path: str, buckets: int) -> Index:
-    """Write the index of (url, content) below ``path``."""
-    spark = documents.sparkSession
-    tokenise(documents).write.parquet(f"{path}/documents")
-    stored = spark.read.parquet(f"{path}/documents")
+    """Write the index of (url, content) below ``path``.
 
+    Text is tokenised once; the other tables are made from the stored tokens.
+    """
+    index = Index(documents.sparkSession, path, buckets)
+    tokenise(documents).write.parquet(f"{path}/documents")
+    stored = index.table("documents")
     bucket = term_bucket(F.col("term"), buckets)
     salt = F.pmod(F.xxhash64("url"), F.lit(_SALTS))
     (
@@ -57,14 +67,13 @@ def build_index(documents: DataFrame, path: str, buckets: int) -> Index:
         .write.partitionBy("bucket")
         .parquet(f"{path}/postings")
     )
-    document_frequency(stored).write.parquet(f"{path}/terms")
-    return open_index(spark, path, buckets)
-
-
-def open_index(spark: SparkSession, path: str, buckets: int) -> Index:
-    return Index(
-        spark.read.parquet(f"{path}/documents"),
-        spark.read.parquet(f"{path}/postings"),
-        spark.read.parquet(f"{path}/terms"),
-        buckets,
+    (
+        document_frequency(stored)
+        .withColumn("bucket", bucket)
+        .repartition("bucket")
+        .sortWithinPartitions("bucket", "term")
+        .write.partitionBy("bucket")
+        .parquet(f"{path}/terms")
     )
+    corpus_size(stored).write.parquet(f"{path}/corpus")
+    return index

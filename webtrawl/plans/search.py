@@ -2,50 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webtrawl.functions.text import tokens
 from webtrawl.operators.requests import search_requests as check_requests
 from webtrawl.operators.requests import split_by_status
-from webtrawl.operators.search import (
-    bm25,
-    corpus_size,
-    idf,
-    page_of_hits,
-    postings_hits,
-    search_requests,
-)
+from webtrawl.operators.search import bm25, idf, page_of_hits, postings_hits, search_requests
 from webtrawl.plans.index import Index
 
 
-def query_terms(index: Index, q: str) -> list[str]:
+def query_terms(spark: SparkSession, q: str) -> list[str]:
     """The tokens of ``q``, made by the same function as those of the documents."""
-    spark = index.documents.sparkSession
     return spark.range(1).select(tokens(F.lit(q)).alias("terms")).first()["terms"]
 
 
 def search_phrase(index: Index, q: str, size: int, start: int = 0) -> DataFrame:
     """One page of (url, score) for the phrase ``q``, best first.
 
-    Reads only the postings buckets of its terms.  A phrase with an unknown
-    term, or with no token at all, has no hits.
+    Reads only the folders of its terms; lengths and corpus size are stored, so
+    no table is read whole.  A phrase with an unknown term, or without any
+    token, has no hits.
     """
-    terms = query_terms(index, q)
-    known = index.terms.where(F.col("term").isin(*terms)) if terms else index.terms.limit(0)
-    corpus, mean_length = corpus_size(index.documents)
+    terms = query_terms(index.spark, q)
     # One row for each term of the phrase.
-    weight_of = {
-        r["term"]: r["weight"]
-        for r in known.select("term", idf(F.col("documents"), corpus).alias("weight")).collect()
-    }
-    if not terms or len(weight_of) < len(set(terms)):
-        return index.documents.limit(0).select("url", F.lit(0.0).alias("score"))
-    hits = postings_hits(index.postings_of(terms), terms)
-    weight = F.lit(sum(weight_of[t] for t in terms))
-    lengths = index.documents.select("url", "n_tokens")
+    known = index.of_terms("terms", terms).collect() if terms else []
+    if not terms or len(known) < len(set(terms)):
+        return index.spark.createDataFrame([], "url string, score double")
+    documents = {r["term"]: r["documents"] for r in known}
+    corpus, mean_length = index.table("corpus").first()
+    weight = sum((idf(F.lit(documents[t]), corpus) for t in terms), F.lit(0.0))
     score = bm25(weight, F.col("frequency"), F.col("n_tokens"), mean_length)
-    return page_of_hits(hits.join(lengths, "url").select("url", score.alias("score")), size, start)
+    hits = postings_hits(index.of_terms("postings", terms), terms)
+    return page_of_hits(hits.select("url", score.alias("score")), size, start)
 
 
 def search_batch(documents: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:

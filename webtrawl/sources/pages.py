@@ -15,31 +15,38 @@ def spread(pages: DataFrame) -> DataFrame:
 
     Parsing pages is heavy work on few bytes.  A large input has more splits
     than there are cores and is left alone, so nothing large moves here.
+    ``pages`` must be a plain scan: to count the splits of a join is to run it.
     """
     cores = pages.sparkSession.sparkContext.defaultParallelism
     return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
 
 
-def newest_versions(pages: DataFrame, version: str, key: str = "url") -> DataFrame:
-    """The newest version of each url.
-
-    The outdated (url, version) pairs are found on those two narrow columns.
-    They are mostly few, and then the wide rows are filtered where they lie;
-    otherwise both sides meet on (url, version), which no hot url can skew.
-    """
-    versions = pages.select(key, version)
+def outdated_versions(versions: DataFrame, version: str, key: str = "url") -> DataFrame:
+    """The (url, version) pairs that a newer version replaces; reads only these columns."""
+    narrow = versions.select(key, version)
     repeated = (
-        versions.groupBy(key)
+        narrow.groupBy(key)
         .agg(F.max(version).alias("_newest"), F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > 1)
     )
-    outdated = materialize(
-        versions.join(repeated, key).where(F.col(version) < F.col("_newest")).select(key, version),
-        "outdated",
-    )
+    stale = narrow.join(repeated, key).where(F.col(version) < F.col("_newest"))
+    return materialize(stale.select(key, version), "outdated")
+
+
+def drop_versions(pages: DataFrame, outdated: DataFrame, version: str, key: str = "url") -> DataFrame:
+    """``pages`` without the outdated pairs.
+
+    These are mostly few, and then the wide rows are filtered where they lie;
+    otherwise both sides meet on (url, version), which no hot url can skew.
+    """
     return pages.join(broadcast_if_small(outdated, key), [key, version], "left_anti")
 
 
+def newest_versions(pages: DataFrame, version: str, key: str = "url") -> DataFrame:
+    """The newest version of each url."""
+    return drop_versions(pages, outdated_versions(pages, version, key), version, key)
+
+
 def fetch(
     frontier: DataFrame, pages: DataFrame, keep: Sequence[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:

@@ -30,16 +30,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder of this application below the scratch folder."""
+    base = scratch_dir(spark).rstrip("/")
+    return f"{base}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     The result has no lineage to recompute, gives the same rows to every
     reader, survives lost executors, and carries real sizes for the optimizer.
+    All tables of an application lie in one folder, to be dropped after it.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(rows: int, size: int) -> bool:
