@@ -221,6 +221,24 @@ def all_sql() -> dict[str, str]:
 SELECT DISTINCT {ROOT} AS root, url AS src,
   {ROOT} || '/' || unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) AS dst
 FROM pages"""
+    hits = (
+        DOCUMENTS,
+        SEARCH_REQUESTS,
+        f"""asked AS (
+  SELECT *, regexp_extract_all(lower(q), '{WORD}(?:[''.]{WORD})*') AS terms
+  FROM search_requests WHERE status = 'ok'
+),
+wanted AS (SELECT DISTINCT array_to_string(terms, ' ') AS phrase, terms FROM asked WHERE len(terms) > 0)""",
+        SCORED,
+        """ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY score DESC, url) AS rank FROM scored
+),
+hits AS (
+  SELECT request_id, rank, url, score
+  FROM asked a JOIN ranked r ON r.phrase = array_to_string(a.terms, ' ')
+  WHERE rank > start AND rank <= start + size
+)""",
+    )
     return {
         "page_text": f"SELECT page_id, {_collapsed(_CLEANED)} AS content FROM pages",
         "page_text_decoded": f"SELECT page_id, {_collapsed(_DECODED)} AS content FROM pages",
@@ -250,22 +268,18 @@ SELECT url, pos, href, CASE WHEN contains(link0, site) THEN link0
             SCORED,
         )
         + " SELECT url, score FROM scored ORDER BY score DESC, url LIMIT 10 OFFSET 5",
-        "search_batch": _with(
-            DOCUMENTS,
-            SEARCH_REQUESTS,
-            f"""asked AS (
-  SELECT *, regexp_extract_all(lower(q), '{WORD}(?:[''.]{WORD})*') AS terms
-  FROM search_requests WHERE status = 'ok'
-),
-wanted AS (SELECT DISTINCT array_to_string(terms, ' ') AS phrase, terms FROM asked WHERE len(terms) > 0)""",
-            SCORED,
-            """ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY score DESC, url) AS rank FROM scored
+        "search_batch": _with(*hits) + " SELECT request_id, rank, url, score FROM hits",
+        "search_responses": _with(
+            *hits,
+            """pages_ AS (
+  SELECT request_id, '["' || string_agg(url, '","' ORDER BY rank) || '"]' AS urls
+  FROM hits GROUP BY request_id
 )""",
         )
-        + """ SELECT request_id, rank, url, score
-  FROM asked a JOIN ranked r ON r.phrase = array_to_string(a.terms, ' ')
-  WHERE rank > start AND rank <= start + size""",
+        + """ SELECT s.request_id, CASE WHEN status = 'ok'
+    THEN '{"status":"ok","data":' || coalesce(urls, '[]') || '}'
+    ELSE '{"status":"' || status || '","data":{}}' END AS body
+  FROM search_requests s LEFT JOIN pages_ p ON p.request_id = s.request_id""",
         "fetch_snapshot": f"""
 WITH links AS ({root_links}),
 frontier AS (SELECT url FROM pages UNION SELECT dst FROM links)
@@ -353,6 +367,13 @@ SELECT request_id, s AS status, CASE WHEN s = 'ok' THEN id END AS id,
 FROM named""",
         "authorize_requests": _with(*ACCOUNTS, AUTHORIZED)
         + """ SELECT request_id, token, ts, status, CASE WHEN status = 'ok' THEN id END AS author_id
+  FROM authorized""",
+        "current_responses": _with(*ACCOUNTS, AUTHORIZED)
+        + """ SELECT request_id, CASE WHEN status = 'ok'
+    THEN '{"status":"ok","data":{"id":' || id::VARCHAR || ',"email":"' || email || '","name":"' || name
+      || '","created_date":"' || strftime(created_date, '%Y-%m-%d %H:%M:%S')
+      || '","last_login_date":"' || strftime(last_login_date, '%Y-%m-%d %H:%M:%S') || '"}}'
+    ELSE '{"status":"' || status || '","data":{}}' END AS body
   FROM authorized""",
         "user_crawl_stats": _with(FETCH_LOG, *ACCOUNTS, AUTHORIZED, STATS)
         + """, callers AS (

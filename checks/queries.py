@@ -20,7 +20,7 @@ from webtrawl.operators import (
     tasks,
 )
 from webtrawl.plans import accounts as account_plans
-from webtrawl.plans import crawl, index
+from webtrawl.plans import crawl, index, responses
 from webtrawl.plans import search as search_plans
 from webtrawl.plans import tasks as task_plans
 from webtrawl.schemas import CRAWLER_STATS
@@ -125,6 +125,14 @@ def search_batch(spark, sf_dir):
     return hits
 
 
+@query
+def search_responses(spark, sf_dir):
+    documents = materialize(search.tokenise(_documents(spark, sf_dir)), "tokens")
+    checked = requests.search_requests(inputs.search_requests(spark, sf_dir))
+    accepted, _ = requests.split_by_status(checked)
+    return responses.search_responses(checked, search.search_requests(documents, accepted))
+
+
 # Crawl
 
 
@@ -238,6 +246,13 @@ def authorize_requests(spark, sf_dir):
     return accounts.authorize(inputs.requests(spark, sf_dir), *_account_inputs(spark, sf_dir))
 
 
+@query
+def current_responses(spark, sf_dir):
+    return responses.current_responses(
+        inputs.requests(spark, sf_dir), *_account_inputs(spark, sf_dir)
+    )
+
+
 @query
 def user_crawl_stats(spark, sf_dir):
     allowed = accounts.authorize(inputs.requests(spark, sf_dir), *_account_inputs(spark, sf_dir))

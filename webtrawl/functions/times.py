@@ -24,13 +24,18 @@ def micros(ts: Column) -> Column:
     return F.call_function("div", ts - epoch(), F.expr("INTERVAL '0.000001' SECOND"))
 
 
+def floor_div(n: Column, by: int) -> Column:
+    """``n`` over ``by`` rounded down, in whole numbers throughout."""
+    divisor = F.lit(by).cast("bigint")
+    return F.call_function("div", n - F.pmod(n, divisor), divisor)
+
+
 def from_micros(n: Column) -> Column:
     """Inverse of :func:`micros`."""
-    whole = F.floor(n / MICROS).cast("bigint")
-    days = F.floor(whole / 86_400).cast("int")
-    second = (whole - days * 86_400) + (n - whole * MICROS).cast("decimal(18,0)") / MICROS
+    days = floor_div(n, 86_400 * MICROS)
+    rest = (n - days * (86_400 * MICROS)).cast("decimal(18,0)") / MICROS
     zero = F.lit(0)
-    return epoch() + F.make_dt_interval(days, zero, zero, second.cast("decimal(18,6)"))
+    return epoch() + F.make_dt_interval(days.cast("int"), zero, zero, rest.cast("decimal(18,6)"))
 
 
 def time_text(ts: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,19 +110,23 @@ def token_validity(requests: DataFrame, lifetimes: DataFrame) -> DataFrame:
     )
 
 
-def authorize(requests: DataFrame, tokens: DataFrame, users: DataFrame) -> DataFrame:
-    """Requests with a status and, where it is ok, the caller's id.
+def authorize(
+    requests: DataFrame, tokens: DataFrame, users: DataFrame, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Requests with a status and, where it is ok, the caller's id and the ``keep`` columns.
 
     A request without a token is forbidden before any lookup.
     """
     status = F.when(requests["token"].isNull(), FORBIDDEN).otherwise(_token_status(requests["ts"]))
+    ok = F.col("status") == OK
     return (
         _by_token(requests, _owners(tokens, users))
         .withColumn("status", status)
         .select(
             *[requests[c] for c in requests.columns],
             "status",
-            F.when(F.col("status") == OK, F.col("id")).alias("author_id"),
+            F.when(ok, F.col("id")).alias("author_id"),
+            *[F.when(ok, F.col(c)).alias(c) for c in keep],
         )
     )
 

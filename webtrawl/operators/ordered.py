@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webtrawl.functions.times import floor_div
 from webtrawl.sources.scratch import materialize
 
 # Rows of one group that a single task sorts without trouble.
@@ -127,7 +128,7 @@ def running_max(
     maxima are carried over.  Both sides of the join are partitioned alike, so
     the rows move once.
     """
-    cut = df.withColumn("_piece", F.floor(F.col(index) / piece_rows))
+    cut = df.withColumn("_piece", floor_div(F.col(index), piece_rows))
     within = (
         Window.partitionBy(*keys, "_piece")
         .orderBy(index)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webtrawl.functions.times import MICROS, from_micros, micros, seconds
+from webtrawl.functions.times import MICROS, floor_div, from_micros, micros
 from webtrawl.operators.ordered import TASK_ROWS, has_large_group, rank_rows, running_max
 
 # Three fetches a second.
@@ -30,7 +30,7 @@ def rate_audit(
     window = window_seconds * MICROS
     width = window * _WINDOWS_PER_BUCKET
     at = micros(F.col("ts"))
-    own = F.floor(F.col("_at") / width)
+    own = floor_div(F.col("_at"), width)
     tail = F.col("_at") + window >= (own + 1) * width
     rows = (
         fetches.withColumn("_at", at)
@@ -74,7 +74,7 @@ def paced_schedule(
     ranked = rank_rows(rows, ["root"], ["_at", "ts", tie], "_i", task_rows)
     chained = (
         ranked.withColumn("_slot", ((F.col("_i") - 1) % limit).cast("int"))
-        .withColumn("_m", F.floor((F.col("_i") - 1) / limit))
+        .withColumn("_m", floor_div(F.col("_i") - 1, limit))
         .withColumn("_slack", F.col("_at") - F.col("_m") * w)
     )
     if has_large_group(arrivals, ["root"], task_rows):

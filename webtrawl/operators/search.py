@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webtrawl.functions.text import phrase, tokens
+from webtrawl.functions.times import floor_div
 from webtrawl.operators.ordered import TASK_ROWS, rank_rows
 from webtrawl.operators.requests import MAX_LIMIT
 from webtrawl.sources.scratch import fits_broadcast, materialize
@@ -217,7 +218,7 @@ def search_requests(
     page = ["phrase", "start", "size"]
 
     def strip(place: Column) -> Column:
-        return F.floor(place / MAX_LIMIT)
+        return floor_div(place, MAX_LIMIT)
 
     last = F.col("start") + F.col("size") - 1
     touched = F.array_distinct(F.array(strip(F.col("start")), strip(last)))
