@@ -284,6 +284,30 @@ def test_seen_stream(spark, inbox, tmp_path):
     assert task_stream.unseen_stream(stream, "1 hour").isStreaming
 
 
+def test_seen_table(spark, inbox, tmp_path):
+    schema = T.StructType.fromDDL("root string, url string")
+    seen = ChangeTable(spark, str(tmp_path / "seen"), schema, ("root", "url")).start()
+    stream = spark.readStream.schema(schema).json(str(inbox))
+    row = {"root": "r", "url": "u"}
+    for name, rows in (("1", [row, row, {**row, "root": "s"}]), ("2", [row, {**row, "url": "v"}])):
+        put(inbox, name, rows)
+        drain(stream, task_stream.unseen_handler(seen), tmp_path / "checkpoint")
+    got = sorted((r.batch, r.root, r.url) for r in seen.rows().collect())
+    assert got == [(0, "r", "u"), (0, "s", "u"), (1, "r", "v")]
+
+
+def test_compacted_changes(spark, tmp_path):
+    schema = T.StructType.fromDDL("id int, name string")
+    table = ChangeTable(spark, str(tmp_path / "old"), schema, ("id",)).start()
+    table.write(spark.createDataFrame([(1, "a"), (2, "b")], schema), 0)
+    table.write(spark.createDataFrame([(1, "c")], schema), 1)
+    assert {r.id: r.name for r in table.current(1).collect()} == {1: "a", 2: "b"}
+    small = table.compacted(str(tmp_path / "new"))
+    assert sorted((r.id, r.name, r.batch) for r in small.rows().collect()) == [(1, "c", -1), (2, "b", -1)]
+    small.write(spark.createDataFrame([(2, "d")], schema), 2)
+    assert {r.id: r.name for r in small.current().collect()} == {1: "c", 2: "d"}
+
+
 def test_page_count_stream(spark, inbox, tmp_path):
     put(inbox, "1", [{"root": "a"}, {"root": "a"}, {"root": "b"}])
     put(inbox, "2", [{"root": "a"}])

@@ -40,8 +40,12 @@ def postings(tokenised: DataFrame) -> DataFrame:
 
     The document's length goes along, so that scoring needs no lookup of it.
     """
-    return tokenised.select("url", "n_tokens", F.posexplode("tokens").alias("pos", "term")).select(
-        "term", "url", "pos", "n_tokens"
+    # The inner form would test for empty lists first, and so tokenise twice.
+    each = F.posexplode_outer("tokens").alias("pos", "term")
+    return (
+        tokenised.select("url", "n_tokens", each)
+        .where(F.col("term").isNotNull())
+        .select("term", "url", "pos", "n_tokens")
     )
 
 

@@ -49,3 +49,10 @@ class ChangeTable:
             .agg(F.max_by(F.struct(*others), "batch").alias("_row"))
             .select(*[F.col(n) if n in self.key else F.col("_row")[n].alias(n) for n in self.schema.fieldNames()])
         )
+
+    def compacted(self, path: str) -> ChangeTable:
+        """The same table at a new place, its history folded into the rows before the first batch.
+
+        For a stream that is stopped: its next batch then reads only these.
+        """
+        return ChangeTable(self.spark, path, self.schema, self.key).start(self.current())

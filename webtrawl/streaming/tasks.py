@@ -113,3 +113,18 @@ def unseen_stream(links: DataFrame, within: str | None = None) -> DataFrame:
     if within is None:
         return links.dropDuplicates(["root", "url"])
     return links.withWatermark("ts", within).dropDuplicatesWithinWatermark(["root", "url"])
+
+
+def unseen_handler(seen: ChangeTable) -> Handler:
+    """Writes the (root, url) pairs of a batch that no batch before had.
+
+    The exact form for links with very common targets: repeats within a batch
+    are combined before anything moves, and the known pairs lie in a table
+    instead of a state store.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        pairs = batch.select("root", "url").distinct()
+        seen.write(pairs.join(seen.rows(batch_id), ["root", "url"], "left_anti"), batch_id)
+
+    return handle
