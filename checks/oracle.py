@@ -149,7 +149,14 @@ _CLEANED = (
     r"regexp_replace(regexp_replace(html, '(?is)(<!--.*?-->)|<title\b.*?(?:</title\s*>|\z)"
     r"|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)', '\1', 'g'), '<[^>]+>', '', 'g')"
 )
+# Entities that stay are put aside as lone characters while bare ampersands are escaped.
+_KEPT = {"&amp;": "chr(1)", "&lt;": "chr(2)", "&gt;": "chr(3)"}
 _DECODED = f"replace(replace(replace({_CLEANED}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·')"
+for _name, _char in _KEPT.items():
+    _DECODED = f"replace({_DECODED}, '{_name}', {_char})"
+_DECODED = f"replace({_DECODED}, '&', '&amp;')"
+for _name, _char in _KEPT.items():
+    _DECODED = f"replace({_DECODED}, {_char}, '{_name}')"
 
 
 def _collapsed(text: str) -> str:

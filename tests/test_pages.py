@@ -46,7 +46,9 @@ def test_text_options(spark):
     row = df.select(
         html.page_text(F.col("html"), decode=True).alias("decoded"),
         html.page_text(F.col("html"), tag_replacement=" ", decode_amp=True).alias("apart"),
+        html.page_text(F.lit("AT&T &amp; &quot;x&quot;"), decode=True).alias("bare"),
     ).first()
+    assert row.bare == 'AT&amp;T &amp; "x"'
     assert row.decoded == "ab &amp;&lt; ©"
     assert row.apart == " a b &< ©"
 

@@ -73,12 +73,16 @@ def collapse_blanks(text: Column) -> Column:
 
 
 def decode_entities(text: Column, decode_amp: bool = False) -> Column:
-    """Decode the common named entities; ``&amp; &lt; &gt;`` stay escaped by default."""
+    """Decode the common named entities.
+
+    By default ``&amp; &lt; &gt;`` stay escaped, and a bare ampersand becomes ``&amp;``.
+    """
     for name, char in NAMED_ENTITIES.items():
         text = F.replace(text, F.lit(name), F.lit(char))
-    if decode_amp:
-        for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-            text = F.replace(text, F.lit(name), F.lit(char))
+    if not decode_amp:
+        return F.regexp_replace(text, F.lit(r"&(?!(?:amp|lt|gt);)"), F.lit("&amp;"))
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(char))
     return text
 
 

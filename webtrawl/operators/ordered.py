@@ -80,9 +80,15 @@ def rank_rows(
     order: Sequence[str | Column],
     name: str,
     task_rows: int = TASK_ROWS,
+    large: bool | None = None,
 ) -> DataFrame:
-    """1-based position of each row within its group; ``order`` must be total."""
-    if not has_large_group(df, keys, task_rows):
+    """1-based position of each row within its group; ``order`` must be total.
+
+    ``large`` tells whether some group exceeds a task, where that is known.
+    """
+    if large is None:
+        large = has_large_group(df, keys, task_rows)
+    if not large:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
 
@@ -113,7 +119,7 @@ def next_value(
     if not has_large_group(df, keys, task_rows):
         return df.withColumn(name, F.lead(value).over(Window.partitionBy(*keys).orderBy(*order)))
 
-    ranked = materialize(rank_rows(df, keys, order, "_rank", task_rows), "next")
+    ranked = materialize(rank_rows(df, keys, order, "_rank", large=True), "next")
     following = ranked.select(*keys, (F.col("_rank") - 1).alias("_rank"), F.col(value).alias(name))
     # (key, rank) is unique, so the join is even however large one key is.
     return _attach(ranked, following, [*keys, "_rank"], "left").select(*df.columns, name)

@@ -71,13 +71,14 @@ def paced_schedule(
     if admitted is not None:
         newest = admitted.groupBy("root").agg(F.max("at").alias("_newest"))
         rows = rows.join(newest, "root", "left").withColumn("_at", F.greatest("_at", "_newest"))
-    ranked = rank_rows(rows, ["root"], ["_at", "ts", tie], "_i", task_rows)
+    large = has_large_group(arrivals, ["root"], task_rows)
+    ranked = rank_rows(rows, ["root"], ["_at", "ts", tie], "_i", large=large)
     chained = (
         ranked.withColumn("_slot", ((F.col("_i") - 1) % limit).cast("int"))
         .withColumn("_m", floor_div(F.col("_i") - 1, limit))
         .withColumn("_slack", F.col("_at") - F.col("_m") * w)
     )
-    if has_large_group(arrivals, ["root"], task_rows):
+    if large:
         run = running_max(chained, ["root", "_slot"], "_m", "_slack", "_run", task_rows)
     else:
         so_far = (
