@@ -145,13 +145,17 @@ edges AS (
 
 # Page text
 
-_CLEANED = (
-    r"regexp_replace(regexp_replace(html, '(?is)(<!--.*?-->)|<title\b.*?(?:</title\s*>|\z)"
-    r"|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)', '\1', 'g'), '<[^>]+>', '', 'g')"
+_KEPT_ELEMENTS = (
+    r"regexp_replace(html, '(?is)(<!--.*?-->)|<title\b.*?(?:</title\s*>|\z)"
+    r"|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)', '\1', 'g')"
 )
+_CLOSED = rf"regexp_replace({_KEPT_ELEMENTS}, '&(amp|quot|copy|middot)([^-.a-zA-Z0-9;])', '&\1;\2', 'g')"
+_CLEANED = f"regexp_replace({_KEPT_ELEMENTS}, '<[^>]+>', '', 'g')"
 # Entities that stay are put aside as lone characters while bare ampersands are escaped.
 _KEPT = {"&amp;": "chr(1)", "&lt;": "chr(2)", "&gt;": "chr(3)"}
-_DECODED = f"replace(replace(replace({_CLEANED}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·')"
+_DECODED = f"regexp_replace({_CLOSED}, '<[^>]+>', '', 'g')"
+for _name, _char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·")):
+    _DECODED = f"replace({_DECODED}, '{_name}', '{_char}')"
 for _name, _char in _KEPT.items():
     _DECODED = f"replace({_DECODED}, '{_name}', {_char})"
 _DECODED = f"replace({_DECODED}, '&', '&amp;')"

@@ -22,11 +22,12 @@ EXACT = [
     ("&nosuch; x", "&amp;nosuch x"),
     ("<head><title>never closed<p>x</head>y", "y"),
     ("<!DOCTYPE html><br>x</br></p>", "x"),
+    ("<b>a&amp</b>b &copy<i>c</i> AT&T x", "a&amp;b ©c AT&amp;T x"),
     ("", ""),
 ]
 
 # What the patterns get right too.
-NATIVE = [0, 1, 3, 4, 5, 6, 7, 11, 12]
+NATIVE = [0, 1, 3, 4, 5, 6, 7, 11, 13]
 
 
 def test_text_by_parser(spark):
@@ -48,6 +49,8 @@ def test_text_options(spark):
         html.page_text(F.col("html"), tag_replacement=" ", decode_amp=True).alias("apart"),
         html.page_text(F.lit("AT&T &amp; &quot;x&quot;"), decode=True).alias("bare"),
     ).first()
+    closed = html.page_text(F.lit("<b>a&amp</b>b &copy<i>c</i> &copyleft"), decode=True)
+    assert df.select(closed.alias("c")).first().c == "a&amp;b ©c &amp;copyleft"
     assert row.bare == 'AT&amp;T &amp; "x"'
     assert row.decoded == "ab &amp;&lt; ©"
     assert row.apart == " a b &< ©"

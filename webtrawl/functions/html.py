@@ -72,6 +72,17 @@ def collapse_blanks(text: Column) -> Column:
     return F.regexp_replace(text, F.lit(_BLANKS), F.lit(" "))
 
 
+def close_entities(html: Column) -> Column:
+    """Give known named entities their semicolon where the markup leaves it out.
+
+    Done before tags are stripped, as the next word would be glued to the name.
+    """
+    names = "|".join(
+        name[1:-1] for name in (*NAMED_ENTITIES, "&amp;", "&lt;", "&gt;") if name[1].isalpha()
+    )
+    return F.regexp_replace(html, F.lit(rf"&({names})(?![-.a-zA-Z0-9;])"), F.lit("&$1;"))
+
+
 def decode_entities(text: Column, decode_amp: bool = False) -> Column:
     """Decode the common named entities.
 
@@ -93,7 +104,10 @@ def page_text(
     decode_amp: bool = False,
 ) -> Column:
     """Clean text of a page, in the JVM."""
-    text = strip_tags(drop_elements(html), tag_replacement)
+    kept = drop_elements(html)
+    if decode or decode_amp:
+        kept = close_entities(kept)
+    text = strip_tags(kept, tag_replacement)
     if decode or decode_amp:
         text = decode_entities(text, decode_amp)
     return collapse_blanks(text)
