@@ -10,13 +10,11 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     import __spark_entry__  # noqa: F401  (ships the package's functions to the workers)
     from checks.compare import local_session
 
     session = local_session("8")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("scratch")))
     session.conf.set("spark.sql.shuffle.partitions", "4")
     return session
 

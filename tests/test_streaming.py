@@ -15,7 +15,7 @@ from webtrawl.streaming import accounts as account_stream
 from webtrawl.streaming import pacing as pacing_stream
 from webtrawl.streaming import replies as reply_stream
 from webtrawl.streaming import tasks as task_stream
-from webtrawl.streaming.run import each_batch
+from webtrawl.streaming.run import each_batch, publish
 
 NOW = datetime(2024, 1, 1, 10)
 
@@ -235,6 +235,19 @@ def test_reply_sink(spark, tmp_path):
     assert stored == {"a": {"status": "ok", "data": {"id": 1}}, "b": {"status": "Invalid token", "data": {}}}
 
 
+def test_publish_once(spark, inbox, tmp_path):
+    """Messages sent on as files, each once over restarts."""
+    stream = messages.message_stream(spark, str(inbox))
+    sent = stream.select("correlation_id", "reply_to", F.concat(F.lit("re:"), "body").alias("body"))
+    out = str(tmp_path / "out")
+    for name, ids in (("1", "ab"), ("2", "c")):
+        put(inbox, name, [message(i, i * 2) for i in ids])
+        publish(sent, str(tmp_path / "checkpoint"), out, every=None).awaitTermination()
+    publish(sent, str(tmp_path / "checkpoint"), out, every=None).awaitTermination()
+    got = sorted((r.correlation_id, r.reply_to, r.body) for r in spark.read.json(out).collect())
+    assert got == [("a", "me", "re:aa"), ("b", "me", "re:bb"), ("c", "me", "re:cc")]
+
+
 ARRIVAL = "event_id bigint, root string, ts timestamp"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +26,12 @@ def scratch_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="webtrawl-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="webtrawl-")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 Handler = Callable[[DataFrame, int], None]
@@ -26,3 +27,34 @@ def each_batch(
         .trigger(**trigger)
         .start()
     )
+
+
+def publish(
+    messages: DataFrame,
+    checkpoint: str,
+    path: str | None = None,
+    every: str | None = "10 seconds",
+    **kafka: str,
+) -> StreamingQuery:
+    """Send a stream of (correlation_id, reply_to, body) on, and do not wait for answers.
+
+    With ``path``, as JSON files, each message once; otherwise to the Kafka topic
+    described by the options, keyed by the correlation id, ``reply_to`` as a
+    header, at least once.
+    """
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    if path is not None:
+        writer = messages.writeStream.format("json").option("path", path)
+    else:
+        reply_to = F.struct(
+            F.lit("reply_to").alias("key"), F.col("reply_to").cast("binary").alias("value")
+        )
+        records = messages.select(
+            F.col("correlation_id").alias("key"),
+            F.col("body").alias("value"),
+            F.array(reply_to).alias("headers"),
+        )
+        writer = (
+            records.writeStream.format("kafka").option("includeHeaders", "true").options(**kafka)
+        )
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
