@@ -24,8 +24,10 @@ def walk(graph, root, max_depth):
     }
 
 
-@pytest.mark.parametrize("max_depth", [0, 1, 3, 5])
-def test_crawl(spark, max_depth):
+@pytest.mark.parametrize("max_depth,broadcast", [(0, True), (1, True), (3, True), (5, True), (3, False)])
+def test_crawl(spark, monkeypatch, max_depth, broadcast):
+    if not broadcast:
+        monkeypatch.setattr("webtrawl.sources.scratch.BROADCAST_ROWS", -1)
     rng = random.Random(max_depth)
     roots = [f"https://r{i}.example" for i in range(6)]
     graph = {}
@@ -52,9 +54,11 @@ def test_root_linked_to(spark):
     assert sorted((r.url, r.depth) for r in again) == [(root, 0), (root, 1)]
 
 
-def test_newest_versions(spark):
-    rows = [("a", 1, "old"), ("a", 2, "new"), ("b", 1, "only")]
-    pages = spark.createDataFrame(rows, "url string, version int, html string")
+@pytest.mark.parametrize("rows", [0, 100])
+def test_newest_versions(spark, monkeypatch, rows):
+    monkeypatch.setattr("webtrawl.sources.scratch.BROADCAST_ROWS", rows)
+    versions = [("a", 1, "old"), ("a", 2, "new"), ("b", 1, "only")]
+    pages = spark.createDataFrame(versions, "url string, version int, html string")
     got = page_source.newest_versions(pages, "version").collect()
     assert sorted((r.url, r.html) for r in got) == [("a", "new"), ("b", "only")]
 

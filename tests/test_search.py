@@ -108,6 +108,19 @@ def test_index_reads_only_the_buckets_of_its_terms(documents, tmp_path):
     assert {r.term for r in found.collect()} == {"cat"}
 
 
+@pytest.mark.parametrize("words", [["the"], ["the", "of"], ["of the"], ["nowhere"], []])
+def test_few_phrases(spark, corpus, documents, words):
+    """Single terms only, short phrases only, or nothing to search for."""
+    rows = [(i, q, 100, 0) for i, q in enumerate(words)]
+    requests = spark.createDataFrame(rows, "request_id int, q string, size int, start bigint")
+    got = search.search_requests(search.tokenise(documents), requests).collect()
+    for i, q in enumerate(words):
+        expected = [u for u, _ in expected_hits(corpus[0], q.split())]
+        page = sorted((r["rank"], r.url) for r in got if r.request_id == i)
+        assert [u for _, u in page] == expected
+    assert words or not got
+
+
 def test_postings(documents, corpus):
     rows = search.postings(search.tokenise(documents)).where("url = 'twice'").orderBy("pos").collect()
     assert [r.term for r in rows] == corpus[0]["twice"]

@@ -9,6 +9,7 @@ arise, so the joins give real hits only, however common the single words are.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,20 +123,20 @@ def term_counts(tokenised: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def phrase_counts(
-    tokenised: DataFrame, leads: DataFrame, blocks: DataFrame, several: bool
+    tokenised: DataFrame, leads: DataFrame, blocks: DataFrame, longest: int
 ) -> DataFrame:
     """(phrase, url, n_tokens, frequency) of phrases of two tokens or more.
 
-    ``leads`` holds the block lengths to try after two tokens; ``several`` tells
-    that some phrase has more than one block.  Counts are combined before they
-    move, and then spread by (phrase, url), so a phrase found everywhere is no
-    single task's work.
+    ``leads`` holds the block lengths to try after two tokens, ``longest`` is the
+    length of the longest phrase.  Counts are combined before they move, and then
+    spread by (phrase, url), so a phrase found everywhere is no single task's work.
     """
+    width = min(BLOCK, longest)
     # Tokens hold no space, so the first n of a joined run are cut off by count.
     # Single tokens are fetched by place: ``slice`` would copy the whole list.
     following = F.transform(
         F.sequence(F.lit(0), F.col("n_tokens") - 1),
-        lambda at: F.concat_ws(" ", *[F.get(F.col("tokens"), at + j) for j in range(BLOCK)]),
+        lambda at: F.concat_ws(" ", *[F.get(F.col("tokens"), at + j) for j in range(width)]),
     )
 
     found = (
@@ -148,7 +149,7 @@ def phrase_counts(
         .select("url", "n_tokens", "_pos", F.expr("substring_index(_next, ' ', _length)").alias("block"))
         .join(blocks, "block")
     )
-    if several:
+    if longest > BLOCK:
         start = F.col("_pos") - F.col("offset")
         found = (
             found.groupBy("phrase", "url", "n_tokens", "blocks", start.alias("_start"))
@@ -177,10 +178,15 @@ def score_phrases(tokenised: DataFrame, asked: DataFrame) -> DataFrame:
     terms = phrases.select("phrase", F.explode("terms").alias("term"))
     blocks = phrase_blocks(phrases.where(F.col("length") > 1))
     leads = blocks.groupBy("lead").agg(F.collect_set("length").alias("lengths"))
-    counts = phrase_counts(tokenised, hint(leads), hint(blocks), size["longest"] > BLOCK)
+    parts = []
+    if size["longest"] > 1:
+        parts.append(phrase_counts(tokenised, hint(leads), hint(blocks), size["longest"]))
     if size["shortest"] == 1:
         one_term = phrases.where(F.col("length") == 1).select("phrase")
-        counts = counts.unionByName(term_counts(tokenised, hint(one_term)))
+        parts.append(term_counts(tokenised, hint(one_term)))
+    if not parts:
+        return phrases.select("phrase", F.lit("").alias("url"), F.lit(0.0).alias("score"))
+    counts = reduce(DataFrame.unionByName, parts)
 
     corpus, mean_length = corpus_size(tokenised).first()
     wanted = hint(terms.select("term").distinct())
