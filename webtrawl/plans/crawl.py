@@ -48,7 +48,7 @@ def crawl(
         seen = seen.unionByName(hop)
         hops.append(hop.withColumn("depth", F.lit(depth)))
     reached = reduce(DataFrame.unionByName, hops)
-    urls = broadcast_if_small(reached.select("url").distinct(), "url")
+    urls = broadcast_if_small(reached.select("url"), "url")
     known = pages.select("url").join(urls, "url", "left_semi").distinct()
     known = known.withColumn("_known", F.lit(True))
     state = (
