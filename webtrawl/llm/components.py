@@ -1,0 +1,60 @@
+"""Connected components of a graph given as a table of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from webtrawl.sources.scratch import materialize
+
+
+def components(links: DataFrame, left: str, right: str) -> DataFrame:
+    """(node, root) for every node with a link to another; the root is the smallest of its component.
+
+    Alternating large and small stars: every round hangs each node's larger
+    neighbours, then its smaller ones, on its smallest neighbour, until only
+    stars are left.  A round has no more rows than links and nodes, and none of
+    it is gathered by node, so a node with many links needs no large task.
+    """
+    edges = materialize(
+        links.select(F.greatest(left, right).alias("node"), F.least(left, right).alias("root"))
+        .where("node != root")
+        .distinct(),
+        "edges",
+    )
+    mark = _mark(edges)
+    while True:
+        edges = materialize(_small_star(_large_star(edges)), "edges")
+        before, mark = mark, _mark(edges)
+        if before == mark:
+            return edges
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Number and checksum of the edges, which do not change once only stars are left."""
+    return tuple(
+        edges.agg(
+            F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("node", "root")), F.lit(0))
+        ).first()
+    )
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
+    least = both.groupBy("node").agg(F.min("root").alias("least"))
+    return (
+        both.join(least, "node")
+        .where("root > node")
+        .select(F.col("root").alias("node"), F.least("least", "node").alias("root"))
+        .distinct()
+    )
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    least = edges.groupBy("node").agg(F.min("root").alias("least"))
+    hung = edges.join(least, "node").select(F.col("root").alias("node"), F.col("least").alias("root"))
+    return (
+        hung.where("node != root")
+        .unionByName(least.select("node", F.col("least").alias("root")))
+        .distinct()
+    )

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 
 from webtrawl.llm.common import empty_if_null, quoted
+from webtrawl.llm.words import Characters, code_points, letter
 
 UNDETERMINED = "und"
 
@@ -37,6 +38,9 @@ SMOOTHING = 0.05
 PENALTY = 2.0
 OVERLAP = 3.0
 
+# A text is strange when its trigrams are less likely than even ones to this power.
+STRANGE = 1.2
+
 STEPS = 40
 SETTLED = 1e-4
 
@@ -46,18 +50,13 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def letter_table() -> np.ndarray:
-    """Whether each code point is a letter."""
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-
-
-def cells_of(text: str, letters: np.ndarray) -> np.ndarray:
+def cells_of(text: str, letters: Characters) -> np.ndarray:
     """The cell of each trigram of a text: letters in lower case, the rest as one blank.
 
     A text without a letter has none.
     """
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.where(letters[points], points, 32)
+    points = code_points(text.lower())
+    points = np.where(letters(points), points, 32)
     padded = np.concatenate([[32], points, [32]]).astype(np.uint32)
     blank = padded == 32
     padded = padded[~(blank & np.append(False, blank[:-1]))]
@@ -81,7 +80,7 @@ def count_cells(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     """(lang, cell, n) over all rows with a language; summed in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = letter_table()
+        letters = Characters(letter)
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             for t, l in zip(*(batch.column(c).to_pylist() for c in ("text", "lang")), strict=True):
@@ -139,10 +138,7 @@ class Found:
     languages: list[str]
     weights: list[float]
     score: float
-    known: bool  # whether the mixture explains the text better than random letters
-
-
-NOTHING = Found([], [], 0.0, False)
+    known: bool  # whether there are letters, and the mixture does not find them strange
 
 
 def infer(model: Model, cells: np.ndarray) -> Found:
@@ -152,7 +148,7 @@ def infer(model: Model, cells: np.ndarray) -> Found:
     against every other single one, tempered by the root of the text's length.
     """
     if not len(cells) or not model.languages:
-        return NOTHING
+        return Found([], [], 0.0, len(cells) > 0)
     kinds, counts = np.unique(cells, return_counts=True)
     likely = model.cells[:, kinds]
     total = counts.sum()
@@ -181,10 +177,20 @@ def infer(model: Model, cells: np.ndarray) -> Found:
         [model.languages[chosen[k]] for k in order],
         [float(weights[k]) for k in order],
         float(min(1.0, max(0.0, weights[order[0]] * posterior))),
-        best > -total * math.log(CELLS),
+        best > -STRANGE * total * math.log(CELLS),
     )
 
 
+def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` without those that no learned language explains: null, without a letter, or strange.
+
+    Learns from every labelled row of ``docs``; without any, a letter is enough.
+    """
+    slim = docs.select(F.struct("*").alias("row"), quoted(text).alias("text"))
+    found = predict(slim, learn(docs, text, lang))
+    return found.where("found.known").select("row.*")
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text", name: str = "found") -> DataFrame:
     """``docs`` with a struct (lang, score, known, languages, weights) for each whole text.
 
@@ -194,7 +200,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", name: str = "foun
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        letters, learned = letter_table(), sent.value
+        letters, learned = Characters(letter), sent.value
         for batch in batches:
             found = [infer(learned, cells_of(t or "", letters)) for t in batch.to_pylist()]
             yield pa.StructArray.from_arrays(

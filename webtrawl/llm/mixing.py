@@ -151,7 +151,7 @@ def mix(
         *named,
         quoted(source).cast("string").alias("source"),
         word_count(quoted(text)).alias("size"),
-        row_key(text).alias("text_key"),
+        row_key(quoted(text)).alias("text_key"),
     )
     # Equal rows become one with a count, so that none outgrows its shard.
     unit = [*keys, "source", "size", "text_key"]
@@ -218,6 +218,35 @@ def mix(
     )
 
 
+def resample(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it: its words taken by its words, rounded.
+
+    A row that the mix takes less than half of is left out; texts without words are.
+    """
+    slim = docs.select(
+        quoted(doc_id).alias("id"), quoted(source).alias("source"), quoted(text).alias("text")
+    )
+    mark = F.struct("id", "source", F.col("text_key").alias("key")).alias("mark")
+    # Equal rows share a mark, and so one number.
+    times = (
+        mix(slim, keep=["id"], **how)
+        .where("size > 0")
+        .groupBy(mark)
+        .agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("times"))
+    )
+    own = F.struct(
+        quoted(doc_id).alias("id"),
+        quoted(source).cast("string").alias("source"),
+        row_key(quoted(text)).alias("key"),
+    )
+    return (
+        docs.select(own.alias("mark"), F.struct("*").alias("row"))
+        .join(times.where("times > 0"), "mark")
+        .select("row", F.explode(F.sequence(F.lit(1), "times")))
+        .select("row.*")
+    )
+
+
 def _quotas(frame: pd.DataFrame) -> pd.DataFrame:
     """The blocks of one source, dealt to its shards."""
     frame = frame.sort_values("shard", ignore_index=True)

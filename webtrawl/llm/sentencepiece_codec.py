@@ -159,8 +159,9 @@ def encode_digests(
     doc_id: str = "doc_id",
     text: str = "text",
     model: str | None = None,
+    with_ids: bool = False,
 ) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, and its ids if asked for.
 
     A null text counts as empty: no ids, and the digests of an empty string.
     Repeated rows and ids give one row each.
@@ -178,6 +179,7 @@ def encode_digests(
             tokens = np.zeros(len(texts), np.int64)
             digests: list[str] = [""] * len(texts)
             decoded: list[str] = [""] * len(texts)
+            kept: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
             for places, part in in_two(texts):
                 ids, starts = encoder.encode(part)
                 tokens[places] = np.diff(starts)
@@ -188,18 +190,21 @@ def encode_digests(
                     first, last = ends[starts[k]], ends[starts[k + 1]]
                     digests[place] = hashlib.sha256(letters[first : max(first, last - 1)]).hexdigest()
                     decoded[place] = _sha256(encoder.decoded(part[k]))
-            yield pa.record_batch(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "n_tokens": pa.array(tokens),
-                    "ids_sha256": pa.array(digests, pa.string()),
-                    "decoded_sha256": pa.array(decoded, pa.string()),
-                }
-            )
-
-    return slim.mapInArrow(
-        run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    )
+                    if with_ids:
+                        kept[place] = ids[starts[k] : starts[k + 1]]
+            columns = {
+                "doc_id": batch.column("doc_id"),
+                "n_tokens": pa.array(tokens),
+                "ids_sha256": pa.array(digests, pa.string()),
+                "decoded_sha256": pa.array(decoded, pa.string()),
+            }
+            if with_ids:
+                flat = pa.array(np.concatenate([np.zeros(0, np.int32), *kept]))
+                columns["ids"] = pa.ListArray.from_arrays(_ends(tokens).astype(np.int32), flat)
+            yield pa.record_batch(columns)
+
+    digest = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return slim.mapInArrow(run, digest + ", ids array<int>" * with_ids)
 
 
 def _sha256(text: str) -> str:
