@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webtrawl.llm import exact_dedup, language_id, mixing, near_dedup, sentencepiece_codec
+from webtrawl.llm import exact_dedup, language_id, mixing, near_dedup, sentencepiece_codec, warc
 from webtrawl.llm.common import table
+from webtrawl.sources.scratch import scratch_path
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,20 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "links")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, mark = scratch_path(spark, "warc"), warc.new_mark()
+    warc.write(warc.chunks(warc.records(table(spark, sf_dir, "pages"))), path, mark)
+    found = warc.check(warc.read(spark, path, mark))
+    return found.select(
+        F.col("page_id").cast("bigint").alias("page_id"),
+        F.col("bytes").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+        "intact",
+    )
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: build
