@@ -16,6 +16,89 @@ FROM marked
 WINDOW same AS (PARTITION BY text_sha256)
 """
 
+WARC = """
+WITH hashed AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex
+    FROM pages
+), firsts AS (
+    SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM hashed
+)
+SELECT
+    page_id,
+    payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda k: substr(
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST((CAST('0x' || substr(hex, CAST(5 * (k // 4) + 1 AS INTEGER), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31
+            AS INTEGER) + 1,
+        1)), '') AS payload_digest,
+    CASE WHEN page_id IS NOT DISTINCT FROM first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to,
+    true AS intact
+FROM firsts
+"""
+
+LINE_SPREAD = """
+WITH split AS (
+    SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS pieces FROM documents
+), lines AS (
+    SELECT source, trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS line
+    FROM (SELECT source, unnest(pieces) AS line FROM split)
+), boilerplate AS (
+    SELECT line FROM lines WHERE line <> '' GROUP BY line
+    HAVING count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) >= 8
+), numbered AS (
+    SELECT doc_id, source, len(pieces) AS n_lines, unnest(pieces) AS line,
+           unnest(range(0, len(pieces))) AS place
+    FROM split
+), kept AS (
+    SELECT doc_id, source, n_lines, place, n.line, b.line IS NOT NULL AS gone
+    FROM numbered n LEFT JOIN boilerplate b
+      ON trim(n.line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') = b.line
+)
+SELECT doc_id, source, n_lines,
+       sum(CASE WHEN gone THEN 1 ELSE 0 END)::BIGINT AS n_removed,
+       coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS clean_text
+FROM kept GROUP BY doc_id, source, n_lines
+"""
+
+PREFERENCES = """
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS seq
+    FROM conversations
+), opened AS (
+    SELECT conv_id, (row_number() OVER (PARTITION BY role, text ORDER BY conv_id) + 1) // 2 AS pair, role, text
+    FROM turns WHERE seq = 1
+), pairs AS (
+    SELECT min(conv_id) AS chosen_id, CASE WHEN count(*) = 2 THEN max(conv_id) END AS rejected_id
+    FROM opened GROUP BY role, text, pair
+), aligned AS (
+    SELECT p.chosen_id, p.rejected_id, t.seq, t.conv_id, t.role, t.text, o.role AS other_role, o.text AS other_text
+    FROM pairs p JOIN turns t ON t.conv_id IN (p.chosen_id, p.rejected_id)
+    LEFT JOIN turns o ON o.seq = t.seq
+        AND o.conv_id = CASE WHEN t.conv_id = p.chosen_id THEN p.rejected_id ELSE p.chosen_id END
+), split AS (
+    SELECT chosen_id, min(seq) AS split FROM aligned
+    WHERE rejected_id IS NOT NULL AND (role IS DISTINCT FROM other_role OR text IS DISTINCT FROM other_text)
+    GROUP BY chosen_id
+), parts AS (
+    SELECT a.*, CASE WHEN rejected_id IS NULL THEN 'unpaired'
+                     WHEN split IS NULL OR seq < split THEN 'prompt'
+                     WHEN conv_id = chosen_id THEN 'chosen' ELSE 'rejected' END AS part
+    FROM aligned a LEFT JOIN split USING (chosen_id)
+)
+SELECT chosen_id, rejected_id, part, seq, conv_id, role,
+       '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS rendered,
+       CASE WHEN part IN ('chosen', 'rejected') AND role = 'assistant' THEN length(role) + 5 END AS loss_from,
+       CASE WHEN part IN ('chosen', 'rejected') AND role = 'assistant' THEN length(role) + 5 + length(text) + 9 END AS loss_to
+FROM parts WHERE NOT (part = 'prompt' AND conv_id <> chosen_id)
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": EXACT_DEDUP}
+    return {
+        "op4_preferences": PREFERENCES,
+        "op5_line_spread": LINE_SPREAD,
+        "op6_exact_dedup": EXACT_DEDUP,
+        "op10_warc": WARC,
+    }

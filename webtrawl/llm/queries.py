@@ -7,16 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webtrawl.llm import exact_dedup, language_id, mixing, near_dedup, sentencepiece_codec, warc
+from webtrawl.llm import (
+    exact_dedup,
+    language_id,
+    line_spread,
+    mixing,
+    near_dedup,
+    packing,
+    preferences,
+    sentencepiece_codec,
+    spotsigs,
+    warc,
+)
 from webtrawl.llm.common import table
 from webtrawl.sources.scratch import scratch_path
 
 
+def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.neighbours(table(spark, sf_dir, "documents"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.segments(table(spark, sf_dir, "conversations"))
+
+
+def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_spread.clean(docs).drop("text")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
