@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import ArrowUDFType
 
 from webtrawl.llm.common import empty_if_null, quoted
 from webtrawl.llm.words import Characters, code_points, letter
@@ -217,6 +216,5 @@ def predict(docs: DataFrame, model: Model, text: str = "text", name: str = "foun
     function = F.arrow_udf(
         run,
         "lang string, score double, known boolean, languages array<string>, weights array<double>",
-        functionType=ArrowUDFType.SCALAR_ITER,
     )
     return docs.withColumn(name, function(quoted(text)))

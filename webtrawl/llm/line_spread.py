@@ -82,11 +82,12 @@ def clean(
     lines = lines_of(slim)
     boilerplate = materialize(spread(lines, sites), "boilerplate")
     # A document's lines to remove, as one short list; rows that repeat share it.
-    places = (
+    places = materialize(
         lines.select("mark", "at", "line")
         .join(boilerplate, "line", "left_semi")
         .groupBy("mark")
-        .agg(F.collect_set("at").alias("places"))
+        .agg(F.collect_set("at").alias("places")),
+        "places",
     )
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed", "clean_text")]
     pieces = F.split(empty_if_null(F.col("row")[text]), "\n")

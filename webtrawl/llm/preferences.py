@@ -96,8 +96,10 @@ def segments(conversations: DataFrame) -> DataFrame:
     right = full.join(side["rejected"], F.col("r") == F.col("of")).select("c", "r", "seq", "rejected")
     both = materialize(left.join(right, ["c", "r", "seq"], "full"), "aligned")
     same = (F.col("chosen.role") == F.col("rejected.role")) & (F.col("chosen.text") == F.col("rejected.text"))
-    split = (
-        both.where(~F.coalesce(same, F.lit(False))).groupBy("c", "r").agg(F.min("seq").alias("split"))
+    # Written out, so that the join may split one pair's turns over tasks.
+    split = materialize(
+        both.where(~F.coalesce(same, F.lit(False))).groupBy("c", "r").agg(F.min("seq").alias("split")),
+        "split",
     )
     placed = both.join(split, ["c", "r"], "left").withColumn(
         "common", F.coalesce(F.col("seq") < F.col("split"), F.lit(True))

@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import ArrowUDFType
 
 from webtrawl.llm.common import empty_if_null, quoted
 from webtrawl.llm.words import WordHasher, blocks, mixed
@@ -174,7 +173,7 @@ def _in_ranges(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.array(np.searchsorted(edges, _as_keys(batch), "right"), pa.int32())
 
-    part = F.arrow_udf(range_of, "int", functionType=ArrowUDFType.SCALAR_ITER)
+    part = F.arrow_udf(range_of, "int")
     firsts = keyed.select("key", part("key").alias("part")).groupBy("part").agg(F.min("key").alias("key"))
     begins = sorted((r.part, tuple(r.key)) for r in firsts.collect())
     before = {key: begins[k - 1][0] for k, (_, key) in enumerate(begins)}
@@ -192,7 +191,7 @@ def _in_ranges(docs: DataFrame) -> DataFrame:
             ]
             yield pa.array(found, pa.list_(pa.int32()))
 
-    placed = F.arrow_udf(ranges_of, "array<int>", functionType=ArrowUDFType.SCALAR_ITER)
+    placed = F.arrow_udf(ranges_of, "array<int>")
     return (
         keyed.select("id", "text", "key", F.posexplode(placed("key")).alias("halo", "part"))
         .repartition("part")
