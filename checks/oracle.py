@@ -168,7 +168,7 @@ def _collapsed(text: str) -> str:
 
 
 DOCUMENTS = f"""
-documents_ AS (SELECT url, {_collapsed(_CLEANED)} AS content FROM pages),
+documents_ AS (SELECT url, {_collapsed(_DECODED)} AS content FROM pages),
 tokenised AS MATERIALIZED (
   SELECT url, regexp_extract_all(lower(content), '{WORD}(?:[''.]{WORD})*') AS tokens FROM documents_
 ),
@@ -397,6 +397,25 @@ FROM stats s JOIN callers c ON c.author_id = s.author_id""",
     CASE WHEN email IN (SELECT email FROM users) THEN 'User with this email already exists'
       WHEN name IN (SELECT name FROM users) THEN 'User with this name already exists'
       ELSE 'ok' END AS status FROM signups""",
+        # One signup after the other, the emails and names taken so far in lists.
+        "signup_batch": _with(USERS, SIGNUPS)
+        + """, ordered AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM signups),
+steps AS (
+  SELECT 0::BIGINT AS n, (SELECT coalesce(list(email), []) FROM users) AS emails,
+    (SELECT coalesce(list(name), []) FROM users) AS names,
+    NULL::BIGINT AS seq, NULL::VARCHAR AS email, NULL::VARCHAR AS name, NULL::VARCHAR AS status
+  UNION ALL
+  SELECT n, CASE WHEN status = 'ok' THEN list_append(emails, email) ELSE emails END,
+    CASE WHEN status = 'ok' THEN list_append(names, name) ELSE names END, seq, email, name, status
+  FROM (
+    SELECT o.n, s.emails, s.names, o.seq, o.email, o.name,
+      CASE WHEN list_contains(s.emails, o.email) THEN 'User with this email already exists'
+        WHEN list_contains(s.names, o.name) THEN 'User with this name already exists'
+        ELSE 'ok' END AS status
+    FROM steps s JOIN ordered o ON o.n = s.n + 1
+  )
+)
+SELECT seq, email, name, status FROM steps WHERE n > 0""",
         "login_batch": _with(LOGINS, USERS)
         + """, named AS (
   SELECT 'user' || (user_id * 2)::VARCHAR || '@example.com' AS email, event_id, issued, token FROM logins

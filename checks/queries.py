@@ -23,8 +23,9 @@ from webtrawl.plans import accounts as account_plans
 from webtrawl.plans import crawl, index, responses
 from webtrawl.plans import search as search_plans
 from webtrawl.plans import tasks as task_plans
-from webtrawl.schemas import CRAWLER_STATS
+from webtrawl.schemas import CRAWLER_STATS, Field, Table
 from webtrawl.sources import messages, pages as page_source
+from webtrawl.sources import tables as stored_tables
 from webtrawl.sources.scratch import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -351,7 +352,9 @@ def parse_messages(spark, sf_dir):
 
 @query
 def table_all(spark, sf_dir):
-    return inputs.table(spark, sf_dir, "supplier")
+    path = f"{sf_dir}/supplier.parquet"
+    fields = [Field(f.name, f.dataType) for f in spark.read.parquet(path).schema]
+    return stored_tables.scan(spark, Table("supplier", tuple(fields)), path)
 
 
 @query

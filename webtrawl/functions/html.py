@@ -26,23 +26,15 @@ DROPPED_ELEMENTS = ("title", "script", "style", "meta")
 # U+007F, and its Unicode form lacks the four separators U+001C to U+001F.
 _BLANKS = r"(?U)[\s\x1c-\x1f]{2,}"
 
-# Named entities decoded by the regex form.
-NAMED_ENTITIES = {
-    "&quot;": '"',
-    "&apos;": "'",
-    "&nbsp;": "\u00a0",
-    "&copy;": "©",
-    "&reg;": "®",
-    "&middot;": "·",
-    "&laquo;": "«",
-    "&raquo;": "»",
-    "&ndash;": "–",
-    "&mdash;": "—",
-    "&hellip;": "…",
-    "&trade;": "™",
-    "&euro;": "€",
-    "&#39;": "'",
-}
+# Character references: numeric ones, and names with or without a semicolon.  In an
+# attribute a name without one counts only where no value can follow.
+_REFERENCE = r"&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[a-zA-Z][-.a-zA-Z0-9]*;?)"
+_ATTRIBUTE_REFERENCE = (
+    r"&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[a-zA-Z][a-zA-Z0-9]*(?:;|(?![=a-zA-Z0-9])))"
+)
+
+# What stands for a reference to no character.
+_UNKNOWN = "\ufffd"
 
 # A comment is matched first and kept, so that markup inside it stays a comment.
 _DROP = r"(?is)(<!--.*?-->)" + "".join(
@@ -72,27 +64,106 @@ def collapse_blanks(text: Column) -> Column:
     return F.regexp_replace(text, F.lit(_BLANKS), F.lit(" "))
 
 
-def close_entities(html: Column) -> Column:
-    """Give known named entities their semicolon where the markup leaves it out.
+def _named(names: dict[str, str]) -> dict[str, Column]:
+    """A map column for each first letter: lookups in a map are linear."""
+    groups: dict[str, list[str]] = {}
+    for name, value in names.items():
+        groups.setdefault(name[0], []).append(f"{name}\x02{value}")
+    # One literal for each map: thousands of them would take the planner seconds.
+    return {
+        letter: F.str_to_map(F.lit("\x01".join(items)), F.lit("\x01"), F.lit("\x02"))
+        for letter, items in groups.items()
+    }
 
-    Done before tags are stripped, as the next word would be glued to the name.
-    """
-    names = "|".join(
-        name[1:-1] for name in (*NAMED_ENTITIES, "&amp;", "&lt;", "&gt;") if name[1].isalpha()
+
+def _lookup(name: Column, names: dict[str, str]) -> Column:
+    found = F.lit(None).cast("string")
+    for letter, values in _named(names).items():
+        found = F.when(F.startswith(name, F.lit(letter)), F.try_element_at(values, name)).otherwise(found)
+    return found
+
+
+# The standard names, without their semicolons, and the old ones that need none.
+_NAMES = {name[:-1]: value for name, value in entities.html5.items() if name.endswith(";")}
+_OLD_NAMES = {name: value for name, value in entities.html5.items() if not name.endswith(";")}
+
+
+def _windows_1252(code: int) -> str:
+    try:
+        return bytes([code]).decode("windows-1252")
+    except UnicodeDecodeError:
+        return _UNKNOWN
+
+
+# 128 to 159 mean Windows-1252 in practice.
+_CONTROLS = {code: _windows_1252(code) for code in range(128, 160)}
+
+
+def _numbered(reference: Column) -> Column:
+    """The character of ``&#65;`` or ``&#x41;``; U+FFFD where there is none."""
+    digits = F.regexp_extract(reference, r"&#[xX]?([0-9a-fA-F]+)", 1)
+    is_hex = F.rlike(reference, F.lit("^&#[xX]"))
+    code = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+    controls = F.create_map(*[x for k, v in _CONTROLS.items() for x in (F.lit(k).cast("bigint"), F.lit(v))])
+    is_character = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    valid = F.when(F.coalesce(is_character, F.lit(False)), code).otherwise(0xFFFD)
+    text = F.decode(F.unhex(F.lpad(F.hex(valid), 8, "0")), "UTF-32")
+    return F.when(code.between(128, 159), F.try_element_at(controls, code)).otherwise(text)
+
+
+def _replaced(text: Column, pattern: str, replace, rest) -> Column:
+    """``text`` with ``replace`` of each match of ``pattern`` and ``rest`` of what lies between."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    between = F.split(text, pattern)
+    pairs = F.zip_with(
+        between,
+        F.concat(F.transform(found, replace), F.array(F.lit(""))),
+        lambda plain, reference: F.concat(rest(plain), reference),
+    )
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pairs, "")).otherwise(rest(text))
+
+
+def _escaped(text: Column) -> Column:
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(char), F.lit(name))
+    return text
+
+
+def _decoded_reference(reference: Column) -> Column:
+    """The character of a reference in text; an unknown name stays, without its semicolon."""
+    name = F.regexp_replace(reference, "[&;]", "")
+    return F.when(F.startswith(reference, F.lit("&#")), _numbered(reference)).otherwise(
+        F.coalesce(_lookup(name, _NAMES), F.concat(F.lit("&"), name))
+    )
+
+
+def _attribute_reference(reference: Column) -> Column:
+    """The same in an attribute, where an unknown name stays as it is."""
+    name = F.regexp_replace(reference, "[&;]", "")
+    closed = F.endswith(reference, F.lit(";"))
+    known = F.when(closed, _lookup(name, _NAMES)).otherwise(_lookup(name, _OLD_NAMES))
+    return F.when(F.startswith(reference, F.lit("&#")), _numbered(reference)).otherwise(
+        F.coalesce(known, reference)
     )
-    return F.regexp_replace(html, F.lit(rf"&({names})(?![-.a-zA-Z0-9;])"), F.lit("&$1;"))
 
 
-def decode_entities(text: Column, decode_amp: bool = False) -> Column:
-    """Decode the common named entities.
+def escape_references(html: Column) -> Column:
+    """Every character reference as its character, ``& < >`` as ``&amp; &lt; &gt;``.
 
-    By default ``&amp; &lt; &gt;`` stay escaped, and a bare ampersand becomes ``&amp;``.
+    Done before tags are stripped, as the next word would be glued to a name
+    without a semicolon; a bare ampersand is escaped too.
     """
-    for name, char in NAMED_ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    if not decode_amp:
-        return F.regexp_replace(text, F.lit(r"&(?!(?:amp|lt|gt);)"), F.lit("&amp;"))
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    return _replaced(
+        html,
+        _REFERENCE,
+        lambda reference: _escaped(_decoded_reference(reference)),
+        lambda plain: F.replace(plain, F.lit("&"), F.lit("&amp;")),
+    )
+
+
+def unescape(text: Column) -> Column:
+    """The text that ``&amp; &lt; &gt;`` of cleaned text stand for."""
+    for char, name in (("<", "&lt;"), (">", "&gt;"), ("&", "&amp;")):
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
 
@@ -106,11 +177,9 @@ def page_text(
     """Clean text of a page, in the JVM."""
     kept = drop_elements(html)
     if decode or decode_amp:
-        kept = close_entities(kept)
+        kept = escape_references(kept)
     text = strip_tags(kept, tag_replacement)
-    if decode or decode_amp:
-        text = decode_entities(text, decode_amp)
-    return collapse_blanks(text)
+    return collapse_blanks(unescape(text) if decode_amp else text)
 
 
 def page_hrefs(html: Column) -> Column:
@@ -121,7 +190,7 @@ def page_hrefs(html: Column) -> Column:
         bare = F.when(
             F.substring(raw, 1, 1).isin('"', "'"), F.substring(raw, F.lit(2), F.char_length(raw) - 2)
         ).otherwise(raw)
-        return decode_entities(bare, decode_amp=True)
+        return _replaced(bare, _ATTRIBUTE_REFERENCE, _attribute_reference, lambda plain: plain)
 
     return F.transform(F.filter(quoted, lambda raw: raw != ""), value)
 
@@ -136,6 +205,11 @@ def repair_page(body: Column) -> Column:
     return F.make_valid_utf8(body.cast("string"))
 
 
+def code_is_none(char: str) -> bool:
+    """Whether ``char`` is no character: NUL, or half of a surrogate pair."""
+    return char == "\0" or "\ud800" <= char <= "\udfff"
+
+
 class _PageReader(HTMLParser):
     """Collects a page's escaped text and its hrefs in one pass."""
 
@@ -182,9 +256,11 @@ class _PageReader(HTMLParser):
         try:
             code = int(name[1:], 16) if name[:1] in "xX" else int(name)
             # 128-159 mean Windows-1252 in practice.
-            char = bytes([code]).decode("windows-1252") if 128 <= code < 160 else chr(code)
+            char = _CONTROLS[code] if 128 <= code < 160 else chr(code)
         except (ValueError, OverflowError):
-            char = "�"
+            char = _UNKNOWN
+        if code_is_none(char):
+            char = _UNKNOWN
         self.handle_data(char)
 
     def handle_entityref(self, name):
@@ -207,22 +283,27 @@ PARSED_PAGE = T.StructType(
     [
         T.StructField("content", T.StringType()),
         T.StructField("hrefs", T.ArrayType(T.StringType())),
+        T.StructField("error", T.StringType()),
     ]
 )
 
 
-def _parse(html: str | None) -> tuple[str | None, list[str] | None]:
+def _parse(html: str | None) -> tuple[str | None, list[str] | None, str | None]:
+    """Text, hrefs and, for a page that the parser refuses, why."""
     if html is None:
-        return None, None
+        return None, None, None
     reader = _PageReader()
-    reader.feed(html)
-    reader.close()
+    try:
+        reader.feed(html)
+        reader.close()
+    except (AssertionError, ValueError) as error:
+        return None, None, f"{type(error).__name__}: {error}"
     text = re.sub(r"<[^>]+>", "", "".join(reader.text))
-    return re.sub(r"\s{2,}", " ", text), reader.hrefs
+    return re.sub(r"\s{2,}", " ", text), reader.hrefs, None
 
 
 @F.pandas_udf(PARSED_PAGE)
 def parse_html(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Text and hrefs of each page, read by a parser; one pass, Arrow batches."""
     for html in pages:
-        yield pd.DataFrame([_parse(page) for page in html], columns=["content", "hrefs"])
+        yield pd.DataFrame([_parse(page) for page in html], columns=["content", "hrefs", "error"])

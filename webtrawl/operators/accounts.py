@@ -51,15 +51,19 @@ def token_lifetimes(logins: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     )
 
 
-def _owners(tokens: DataFrame, users: DataFrame) -> DataFrame:
-    return tokens.join(
-        users.select(*USER_COLUMNS), tokens["user_id"] == users["id"], "left"
-    ).select(F.col("token").alias("_token"), "expire_date", *USER_COLUMNS)
+def _with_owner(requests: DataFrame, tokens: DataFrame, users: DataFrame) -> DataFrame:
+    """Requests with their token's row and its user, each null where there is none.
 
-
-def _by_token(requests: DataFrame, owners: DataFrame) -> DataFrame:
+    Tokens come first, so that users are looked up only for the requests at hand.
+    """
+    issued = tokens.select(
+        F.col("token").alias("_token"), F.col("user_id").alias("_user"), "expire_date"
+    )
     key = spread_nulls(requests["token"], requests["request_id"])
-    return requests.join(owners, key == owners["_token"], "left")
+    known = requests.join(issued, key == issued["_token"], "left")
+    owner = spread_nulls(known["_user"].cast("string"), requests["request_id"])
+    found = users.select(*USER_COLUMNS, F.col("id").cast("string").alias("_owner"))
+    return known.join(found, owner == found["_owner"], "left").drop("_owner", "_user")
 
 
 def _token_status(now: Column) -> Column:
@@ -77,7 +81,7 @@ def validate_tokens(requests: DataFrame, tokens: DataFrame, users: DataFrame) ->
     ``requests`` needs request_id, token and ts.
     """
     return (
-        _by_token(requests, _owners(tokens, users))
+        _with_owner(requests, tokens, users)
         .withColumn("status", _token_status(requests["ts"]))
         .select(
             "request_id",
@@ -120,7 +124,7 @@ def authorize(
     status = F.when(requests["token"].isNull(), FORBIDDEN).otherwise(_token_status(requests["ts"]))
     ok = F.col("status") == OK
     return (
-        _by_token(requests, _owners(tokens, users))
+        _with_owner(requests, tokens, users)
         .withColumn("status", status)
         .select(
             *[requests[c] for c in requests.columns],

@@ -37,12 +37,23 @@ def rate_audit(
         .withColumn("_own", own)
         .withColumn("_bucket", F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))))
     )
-    recent = Window.partitionBy("root", "_bucket").orderBy("_at").rangeBetween(-window, 0)
+    # Each fetch counts one from its instant on, and is taken off again after the
+    # window: a running sum, which a frame of unbounded start adds up in one pass.
+    enters = F.struct(F.col("_at").alias("when"), F.lit(1).alias("step"))
+    leaves = F.struct((F.col("_at") + window + 1).alias("when"), F.lit(-1).alias("step"))
+    steps = rows.withColumn("_step", F.explode(F.array(enters, leaves))).withColumns(
+        {"_when": F.col("_step.when"), "_add": F.col("_step.step")}
+    )
+    so_far = (
+        Window.partitionBy("root", "_bucket")
+        .orderBy("_when")
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     return (
-        rows.withColumn("in_window", F.count(F.lit(1)).over(recent))
-        .where(F.col("_bucket") == F.col("_own"))
+        steps.withColumn("in_window", F.sum("_add").over(so_far))
+        .where((F.col("_add") == 1) & (F.col("_bucket") == F.col("_own")))
         .withColumn("over_limit", F.col("in_window") > limit)
-        .drop("_at", "_own", "_bucket")
+        .drop("_at", "_own", "_bucket", "_step", "_when", "_add")
     )
 
 

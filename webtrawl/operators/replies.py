@@ -15,17 +15,27 @@ TIMEOUT = "Timeout exceeded"
 def match_replies(requests: DataFrame, replies: DataFrame, timeout: int = REPLY_SECONDS) -> DataFrame:
     """Each request with its first reply in time, or the timeout status.
 
-    Both sides need correlation_id, ts and body.  Replies are cut to the first
-    of each id before the join.
+    Both sides need correlation_id, ts and body.  A reply from before its
+    request is none.  One row for each id and instant of a request.
     """
-    first = replies.groupBy("correlation_id").agg(
-        F.min(F.struct("ts", "body")).alias("_reply")
+    asked = requests.select("correlation_id", F.col("ts").alias("request_ts"))
+    answers = replies.select(
+        F.col("correlation_id").alias("_id"), F.struct("ts", "body").alias("_reply")
     )
-    in_time = F.col("_reply.ts") <= F.col("ts") + seconds(timeout)
-    return requests.join(first, "correlation_id", "left").select(
-        "correlation_id",
-        F.col("ts").alias("request_ts"),
-        F.when(in_time, F.col("_reply.ts")).alias("reply_ts"),
-        F.when(in_time, F.col("_reply.body")).alias("reply"),
-        F.when(in_time, "ok").otherwise(TIMEOUT).alias("status"),
+    in_time = (
+        (F.col("correlation_id") == F.col("_id"))
+        & (F.col("_reply.ts") >= F.col("request_ts"))
+        & (F.col("_reply.ts") <= F.col("request_ts") + seconds(timeout))
+    )
+    return (
+        asked.join(answers, in_time, "left")
+        .groupBy("correlation_id", "request_ts")
+        .agg(F.min("_reply").alias("_reply"))
+        .select(
+            "correlation_id",
+            "request_ts",
+            F.col("_reply.ts").alias("reply_ts"),
+            F.col("_reply.body").alias("reply"),
+            F.when(F.col("_reply").isNotNull(), "ok").otherwise(TIMEOUT).alias("status"),
+        )
     )

@@ -12,7 +12,7 @@ MAX_LIMIT = 100
 LIMIT_RANGE = "limit shoud be between 1 and 100"
 NOT_INTEGER = "invalid literal for int() with base 10: "
 _INTEGER = r"^\s*[+-]?[0-9]+\s*$"
-_LARGEST = 2**63 - 1
+LARGEST = 2**63 - 1
 
 
 def required(*names: str) -> Column:
@@ -60,8 +60,8 @@ def search_requests(requests: DataFrame) -> DataFrame:
         F.lit(OK),
     )
     # An offset too long to hold is beyond every hit, unless it is negative.
-    beyond = F.when(F.col("offset").contains("-"), 0).otherwise(_LARGEST)
-    start = F.least(F.greatest(F.coalesce(_number("offset"), beyond), F.lit(0)), F.lit(_LARGEST))
+    beyond = F.when(F.col("offset").contains("-"), 0).otherwise(LARGEST)
+    start = F.least(F.greatest(F.coalesce(_number("offset"), beyond), F.lit(0)), F.lit(LARGEST))
     return requests.withColumn("status", status).withColumns(
         {
             "size": F.when(F.col("status") == OK, _number("limit").cast("int")),

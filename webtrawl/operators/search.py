@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from webtrawl.functions.text import phrase, tokens
 from webtrawl.functions.times import floor_div
 from webtrawl.operators.ordered import TASK_ROWS, rank_rows
-from webtrawl.operators.requests import MAX_LIMIT
+from webtrawl.operators.requests import LARGEST, MAX_LIMIT
 from webtrawl.sources.scratch import fits_broadcast, materialize
 
 # BM25 parameters; scores are compared at this many digits.
@@ -222,7 +222,9 @@ def search_requests(
     page: a page meets the hits of the two strips it may touch, however many
     hits there are.  Only then do the requests meet their pages.
     """
-    columns = requests.select("request_id", "q", "start", "size")
+    # The end of a page must be a number too; no list of hits is so long.
+    start = F.least("start", F.lit(LARGEST - MAX_LIMIT)).alias("start")
+    columns = requests.select("request_id", "q", start, "size")
     # Read three times below.
     asked = materialize(asked_phrases(columns), "asked")
     page = ["phrase", "start", "size"]

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webtrawl.operators.ordered import number_rows
 from webtrawl.schemas import Table
@@ -17,6 +18,8 @@ from webtrawl.schemas import Table
 # Reasons a row is refused.
 REQUIRED = "field value is none but required"
 TOO_LONG = "incorrrect str size"
+NOT_A_NUMBER = "not a number"
+NOT_OF_TYPE = "not of its type"
 
 
 class DoesNotExist(LookupError):
@@ -93,14 +96,28 @@ def upsert(table: DataFrame, changes: DataFrame, key: Sequence[str], version: Se
     return table.join(newest, list(key), "left_anti").unionByName(newest)
 
 
-def apply_defaults(rows: DataFrame, table: Table) -> DataFrame:
+def apply_defaults(rows: DataFrame, table: Table, keep: Sequence[str] = ()) -> DataFrame:
     """Columns of ``table``, cast to its types, nulls replaced by the column default."""
 
     def value(f) -> Column:
-        typed = F.col(f.name).cast(f.type) if f.name in rows.columns else F.lit(None).cast(f.type)
+        # A value that is not of the column's type becomes null, as a missing one.
+        typed = F.col(f.name).try_cast(f.type) if f.name in rows.columns else F.lit(None).cast(f.type)
         return typed if f.default is None else F.coalesce(typed, F.lit(f.default).cast(f.type))
 
-    return rows.select(*[value(f).alias(f.name) for f in table.fields])
+    return rows.select(*[value(f).alias(f.name) for f in table.fields], *keep)
+
+
+def not_of_type(rows: DataFrame, table: Table) -> Column:
+    """``column: reason`` of the first value that cannot be read as its column's type, or null."""
+    checks = [
+        F.when(
+            F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.type).isNull(),
+            F.lit(f"{f.name}: {NOT_A_NUMBER if isinstance(f.type, T.NumericType) else NOT_OF_TYPE}"),
+        )
+        for f in table.fields
+        if f.name in rows.columns
+    ]
+    return F.coalesce(*checks, F.lit(None).cast("string"))
 
 
 def violation(table: Table) -> Column:
@@ -116,7 +133,10 @@ def violation(table: Table) -> Column:
 
 def validate(rows: DataFrame, table: Table) -> DataFrame:
     """Rows with defaults filled in and a ``violation`` column, null for good rows."""
-    return apply_defaults(rows, table).withColumn("violation", violation(table))
+    # Judged by the values as they came, before they are cast and filled in.
+    raw = rows.withColumn("_bad", not_of_type(rows, table))
+    typed = apply_defaults(raw, table, ["_bad"])
+    return typed.withColumn("violation", F.coalesce("_bad", violation(table))).drop("_bad")
 
 
 def assign_ids(table: DataFrame, rows: DataFrame, key: str, order: Sequence[str | Column]) -> DataFrame:

@@ -21,13 +21,23 @@ def crawled_recently(time: Column, as_of: Column) -> Column:
 
 def recrawl_filter(stats: DataFrame, as_of: Column) -> DataFrame:
     """The newest row of each domain, and whether it is too fresh to crawl again."""
-    return newest_stat(stats).withColumn("skip", crawled_recently(F.col("time"), as_of))
+    newest = newest_stat(with_crawl_time(stats))
+    return newest.withColumn("skip", crawled_recently(F.col("crawled_at"), as_of)).select(
+        *stats.columns, "skip"
+    )
+
+
+def with_crawl_time(stats: DataFrame) -> DataFrame:
+    """``stats`` with ``crawled_at``: when a row's domain was crawled, else when it was written."""
+    known = F.col("crawled_at") if "crawled_at" in stats.columns else F.lit(None).cast("timestamp_ntz")
+    return stats.withColumn("crawled_at", F.coalesce(known, F.col("time")))
 
 
 def newest_stat(stats: DataFrame) -> DataFrame:
-    """One row for each domain: the newest, of equals the one with the smallest author."""
+    """One row for each domain: the newest crawl, of equals the one with the smallest author."""
     others = [c for c in stats.columns if c != "domain"]
-    order = F.struct(F.col("time"), -F.col("author_id"))
+    when = F.col("crawled_at") if "crawled_at" in stats.columns else F.col("time")
+    order = F.struct(when, F.col("time"), -F.col("author_id"))
     return (
         stats.groupBy("domain")
         .agg(F.max_by(F.struct(*others), order).alias("_row"))
@@ -54,26 +64,24 @@ def route_tasks(tasks: DataFrame, stats: DataFrame, as_of: Column) -> DataFrame:
     - ``crawl``: a new crawl starts;
     - ``error``: the domain names no protocol.
 
-    The stat columns are those of the row to write (null for ``skip``).  Tasks
-    are cut to the first of each domain and author before anything is joined.
+    The stat columns are those of the row to write (null for ``skip``).  A task
+    without a domain is an error, and one without an author is an author's like
+    any other.  Tasks are cut to the first of each domain and author before
+    anything is joined.  What makes a domain fresh is when it was crawled: a copy
+    carries that time on in ``crawled_at``, where ``stats`` has such a column.
     """
     first = tasks.groupBy("domain", "author_id").agg(
-        F.min_by(F.struct("ts", "task_id"), F.struct("ts", "task_id")).alias("_first"),
-        F.count(F.lit(1)).alias("tasks"),
+        F.min(F.struct("ts", "task_id")).alias("_first"), F.count(F.lit(1)).alias("tasks")
     )
-    leader = (
-        tasks.groupBy("domain")
-        .agg(F.min(F.struct("ts", "task_id")).alias("_leader"))
-        .join(
-            newest_stat(stats).select("domain", F.col("status").alias("_known"), "time"),
-            "domain",
-            "left",
-        )
-        .select("domain", "_leader", "_known", crawled_recently(F.col("time"), as_of).alias("_fresh"))
+    leader = first.groupBy(F.col("domain").alias("_led")).agg(F.min("_first").alias("_leader"))
+    known = newest_stat(with_crawl_time(stats)).select(
+        F.col("domain").alias("_stat"), F.col("status").alias("_known"), F.col("crawled_at").alias("_crawled")
     )
-    owned = stats.select("domain", "author_id").distinct().withColumn("_owned", F.lit(True))
+    owned = stats.select(
+        F.col("domain").alias("_domain"), F.col("author_id").alias("_author"), F.lit(True).alias("_owned")
+    ).distinct()
     flag = https_flag(F.col("domain"))
-    fresh = F.coalesce(F.col("_fresh"), F.lit(False))
+    fresh = F.coalesce(crawled_recently(F.col("_crawled"), as_of), F.lit(False))
     action = (
         F.when(fresh & F.col("_owned"), "skip")
         .when(fresh, "copy")
@@ -88,18 +96,22 @@ def route_tasks(tasks: DataFrame, stats: DataFrame, as_of: Column) -> DataFrame:
         .otherwise(CRAWLING)
     )
     written = F.col("action") != "skip"
-    return (
-        first.join(owned, ["domain", "author_id"], "left")
-        .join(leader, "domain")
+    same_author = F.col("domain").eqNullSafe(F.col("_domain")) & F.col("author_id").eqNullSafe(F.col("_author"))
+    routed = (
+        first.join(owned, same_author, "left")
+        .join(leader, F.col("domain").eqNullSafe(F.col("_led")))
+        .join(known, F.col("domain").eqNullSafe(F.col("_stat")), "left")
         .withColumn("action", action)
-        .select(
-            F.col("_first.task_id").alias("task_id"),
-            "domain",
-            "author_id",
-            "tasks",
-            "action",
-            status.alias("status"),
-            F.when(written, F.coalesce(flag, F.lit(0))).alias("https"),
-            F.when(written, F.lit(0)).alias("pages_count"),
-        )
+    )
+    carried = [F.when(written & fresh, F.col("_crawled")).alias("crawled_at")]
+    return routed.select(
+        F.col("_first.task_id").alias("task_id"),
+        "domain",
+        "author_id",
+        "tasks",
+        "action",
+        status.alias("status"),
+        F.when(written, F.coalesce(flag, F.lit(0))).alias("https"),
+        F.when(written, F.lit(0)).alias("pages_count"),
+        *(carried if "crawled_at" in stats.columns else []),
     )

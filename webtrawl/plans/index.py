@@ -42,10 +42,12 @@ def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.hash(term), F.lit(buckets))
 
 
-def documents_of(pages: DataFrame, exact: bool = False, **options) -> DataFrame:
-    """(url, content) of (url, html); ``exact`` reads the markup with a parser."""
+def documents_of(
+    pages: DataFrame, exact: bool = False, decode: bool = True, **options
+) -> DataFrame:
+    """(url, content) of (url, html), entities decoded; ``exact`` reads the markup with a parser."""
     html = F.col("html")
-    content = parse_html(html)["content"] if exact else page_text(html, **options)
+    content = parse_html(html)["content"] if exact else page_text(html, decode, **options)
     return pages.select("url", content.alias("content"))
 
 

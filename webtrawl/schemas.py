@@ -81,6 +81,8 @@ CRAWLER_STATS = Table(
         Field("avg_time_per_page", T.DoubleType(), required=False),
         Field("max_time_per_page", T.DoubleType(), required=False),
         Field("min_time_per_page", T.DoubleType(), required=False),
+        # When the crawl took place that the row tells of; a copy keeps it.
+        Field("crawled_at", T.TimestampNTZType(), required=False),
     ),
 )
 

@@ -43,8 +43,30 @@ def drop_versions(pages: DataFrame, outdated: DataFrame, version: str, key: str
 
 
 def newest_versions(pages: DataFrame, version: str, key: str = "url") -> DataFrame:
-    """The newest version of each url."""
-    return drop_versions(pages, outdated_versions(pages, version, key), version, key)
+    """The newest version of each url; of several rows of it, the greatest."""
+    newest = drop_versions(pages, outdated_versions(pages, version, key), version, key)
+    return one_of_equal_versions(newest, pages, version, key).select(*pages.columns)
+
+
+def one_of_equal_versions(
+    newest: DataFrame, pages: DataFrame, version: str, key: str = "url"
+) -> DataFrame:
+    """``newest`` with one row for each url: where its version comes twice, the greatest row.
+
+    Repeats are found on the two narrow columns of ``pages``; other rows stay in place.
+    """
+    repeated = materialize(
+        pages.groupBy(key, version).count().where(F.col("count") > 1).select(key, version), "repeated"
+    )
+    few = broadcast_if_small(repeated, key)
+    row = F.struct(*newest.columns)
+    chosen = (
+        newest.join(few, [key, version], "left_semi")
+        .groupBy(key)
+        .agg(F.max(row).alias("_row"))
+        .select("_row.*")
+    )
+    return newest.join(few, [key, version], "left_anti").unionByName(chosen.select(*newest.columns))
 
 
 def fetch(

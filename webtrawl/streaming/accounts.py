@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,22 +53,33 @@ class AccountTables:
         return self
 
 
-def new_token(message_id: Column) -> Column:
-    """A token text made from the message's own id: a batch run again gives the same one."""
-    digest = F.sha2(message_id, 256)
+def new_token(message_id: Column, secret: str) -> Column:
+    """A token text made from the message's id and a secret, so that only its holder can.
+
+    A batch that runs again gives the same one.
+    """
+    inner = F.sha2(F.concat(F.lit("inner:" + secret), message_id), 256)
+    digest = F.sha2(F.concat(F.lit("outer:" + secret), inner), 256)
     parts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     return F.concat_ws("-", *[F.substring(digest, a, n) for a, n in parts])
 
 
-def account_handler(tables: AccountTables) -> Handler:
+def account_handler(tables: AccountTables, secret: str | None = None) -> Handler:
     """Handles a batch of signup, login and validate messages.
 
+    ``secret`` keys the session tokens; a stream that is started again should be
+    given the one it had.  Without one, a random secret holds as long as the handler.
+    A message delivered twice counts once.
+
     Within a batch sign-ups come first, then logins, then token checks; each
     step sees the tables as the steps before left them.
     """
 
+    key = secret or secrets.token_hex(32)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        parsed = materialize(parse_messages(batch), "messages")
+        once = batch.dropDuplicates(["correlation_id"])
+        parsed = materialize(parse_messages(once), "messages")
         message = parsed.where(~F.col("malformed")).select(
             "correlation_id",
             "reply_to",
@@ -97,7 +109,7 @@ def account_handler(tables: AccountTables) -> Handler:
             at.alias("last_login_date"),
         )
         first_tokens = joined.select(
-            new_token(F.col("seq.correlation_id")).alias("token"),
+            new_token(F.col("seq.correlation_id"), key).alias("token"),
             F.col("id").cast("int").alias("user_id"),
             expiry(F.col("seq.ts")).alias("expire_date"),
         )
@@ -108,7 +120,7 @@ def account_handler(tables: AccountTables) -> Handler:
             "email",
             "reply_to",
             F.col("ts").alias("issued"),
-            new_token(F.col("correlation_id")).alias("token"),
+            new_token(F.col("correlation_id"), key).alias("token"),
         )
         outcome = materialize(login_batch(logins, known), "logins")
         replaced = outcome.where(F.col("status") == OK).select("token", "user_id", "expire_date")

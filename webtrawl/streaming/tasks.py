@@ -18,6 +18,7 @@ from webtrawl.sources.scratch import broadcast_if_small, materialize
 from webtrawl.streaming.run import Handler
 
 STAT_KEY = ("domain", "author_id")
+MEASURES = {"avg": F.avg, "max": F.max, "min": F.min}
 MALFORMED = T.StructType(
     [T.StructField("correlation_id", T.StringType()), T.StructField("body", T.StringType())]
 )
@@ -49,10 +50,14 @@ class CrawlTables:
 def task_handler(tables: CrawlTables, pages: DataFrame, max_depth: int = MAX_DEPTH) -> Handler:
     """Handles a batch of task messages against the page snapshot (url, html).
 
+    Where the snapshot has a ``duration`` for its pages, the stats get their
+    mean, greatest and least.
+
     The batch is as late as its newest message.  Its new roots are crawled
     together; their pages go to the documents, their counts to the stats.  The
     links are taken out of the pages once, here, so that a crawl reads no html.
     """
+    timed = pages.select("url", "duration") if "duration" in pages.columns else None
     linked = materialize(pages.select("url", page_hrefs(F.col("html")).alias("hrefs")), "links")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -63,7 +68,7 @@ def task_handler(tables: CrawlTables, pages: DataFrame, max_depth: int = MAX_DEP
             F.col("correlation_id").alias("task_id"),
             *task_fields(),
             F.col("ts").cast("timestamp_ntz").alias("ts"),
-        ).where(F.col("domain").isNotNull() & F.col("author_id").isNotNull())
+        )
 
         as_of = F.lit(tasks.agg(F.max("ts").cast("string")).first()[0]).cast("timestamp_ntz")
         routed = materialize(
@@ -75,24 +80,38 @@ def task_handler(tables: CrawlTables, pages: DataFrame, max_depth: int = MAX_DEP
         fetched = reached.where(F.col("state") == "fetched")
 
         urls = materialize(fetched.select("url").distinct(), "urls")
-        content = page_text(F.col("html")).alias("content")
+        content = page_text(F.col("html"), decode=True).alias("content")
         found = pages.join(broadcast_if_small(urls, "url"), "url").select("url", content)
         tables.documents.write(found, batch_id)
 
-        counts = fetched.groupBy(F.col("root").alias("domain")).agg(
-            F.count(F.lit(1)).alias("_pages")
+        took = F.col("duration") if timed is not None else F.lit(None).cast("double")
+        visits = fetched if timed is None else fetched.join(timed, "url")
+        counts = (
+            roots.distinct()
+            .join(visits, "root", "left")
+            .groupBy(F.col("root").alias("domain"))
+            .agg(
+                F.count("url").alias("_pages"),
+                *[f(took).cast("double").alias(f"_{m}") for m, f in MEASURES.items()],
+            )
+            .withColumn("_now", F.lit(True))
         )
+        crawls = F.col("action") == "crawl"
         stats = routed.join(counts, "domain", "left").select(
             "domain",
-            # All that could be fetched has been, in this very batch.
-            F.when(F.col("status") == CRAWLING, "Done").otherwise(F.col("status")).alias("status"),
+            # All that could be fetched has been, in this very batch; a copy of an
+            # older crawl keeps the status it found.
+            F.when(F.col("_now") & (F.col("status") == CRAWLING), "Done")
+            .otherwise(F.col("status"))
+            .alias("status"),
             "author_id",
             "https",
             as_of.alias("time"),
-            F.when(F.col("action") == "crawl", F.coalesce("_pages", F.lit(0)))
+            F.when(crawls, F.coalesce("_pages", F.lit(0)))
             .otherwise(F.col("pages_count"))
             .alias("pages_count"),
-            *[F.lit(None).alias(f"{m}_time_per_page") for m in ("avg", "max", "min")],
+            *[F.when(crawls, F.col(f"_{m}")).alias(f"{m}_time_per_page") for m in MEASURES],
+            F.when(F.col("_now"), as_of).otherwise(F.col("crawled_at")).alias("crawled_at"),
         )
         tables.stats.write(stats, batch_id)
 
