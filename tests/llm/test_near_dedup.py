@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from webtrawl.llm import near_dedup
@@ -75,6 +76,22 @@ def test_draws_agree_as_often_as_texts_are_similar():
     assert abs((draws[0] == draws[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
 
 
+def test_profiles_never_rule_out_similar_texts():
+    texts = near_copies()
+    features = near_dedup.Shingler()(texts)
+    weights = features.counts * 1.1
+    profiles = near_dedup._as_profiles(pa.array(near_dedup._profiles(features, weights)))
+    total = np.diff(np.concatenate([[0], np.cumsum(weights)])[features.starts])
+    sets = [shingles(t) for t in texts]
+    ruled_out = 0
+    for k in range(len(texts)):
+        able = near_dedup._can_be_near(profiles, total, profiles[k], total[k], 0.8)
+        near = np.array([likeness(sets[k], s) >= 0.8 for s in sets])
+        assert able[near].all()
+        ruled_out += (~able).sum()
+    assert ruled_out > 0.9 * sum(likeness(a, b) < 0.75 for a in sets for b in sets)
+
+
 def test_components(spark):
     draw = random.Random(8)
     pairs = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(60)]
@@ -136,12 +153,11 @@ def near_copies():
     return texts
 
 
-@pytest.mark.parametrize("bands", [None, 1])
-def test_near_copies(spark, monkeypatch, bands):
+@pytest.mark.parametrize("meeting", [1024, 3])
+def test_near_copies(spark, monkeypatch, meeting):
+    monkeypatch.setattr(near_dedup, "MEETING", meeting)
     texts = near_copies()
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    if bands:  # one bucket for all, so that classes meet in it
-        monkeypatch.setattr(near_dedup, "LEAST_AGREEING", 0)
     got = near_dedup.classes(rows).collect()
     check_classes(got, list(range(len(texts))), texts)
 

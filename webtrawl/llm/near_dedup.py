@@ -6,9 +6,11 @@ draws shingles so that two texts agree in a draw with the probability of their
 weighted Jaccard similarity.  Bands of draws bring candidates together, whole
 texts decide, and linked texts form classes.
 
-Inside a bucket texts are first compared with one pivot.  Then only those pairs
-are compared that are still in different classes, so a group of copies never
-unfolds into all its pairs, and no candidate link between classes is lost.
+Inside a bucket texts are first compared with one pivot, the text that shares
+most buckets with others.  Then only texts that are still in different classes
+meet, in blocks, and of these only the pairs come out that their profiles allow
+to be similar.  So a group of copies never unfolds into its pairs, and no
+candidate link between classes is lost.
 """
 
 from __future__ import annotations
@@ -34,9 +36,14 @@ BANDS = 10
 BAND_DRAWS = 3
 DRAWS = BANDS * BAND_DRAWS
 
-# Candidates agree in at least so many of the 30 draws.  At similarity 0.8 fewer
-# come up once in 4,000 pairs, less often than no shared band.
-LEAST_AGREEING = 15
+# A profile is a text's weight by hashed cells of its shingles, in units of 1 / 256.
+# What two texts share cancels out in every cell, so the sum of differences of
+# two profiles is a lower bound, never missed, of the weight in which they differ.
+PROFILE = 256
+UNITS = 256
+
+# Texts of a bucket that meet in one task: so many on either side.
+MEETING = 1_024
 
 # Document frequencies are counted in so many cells, which go to every task: 2 MiB.
 CELLS = 1 << 18
@@ -179,11 +186,11 @@ def _fingerprints(features: Features) -> list[bytes]:
     return [row.tobytes() for row in np.ascontiguousarray(parts)]
 
 
-SKETCH = "key struct<a:bigint,b:bigint>, copy binary, weight double, draws array<int>, bands array<bigint>"
+SKETCH = "key struct<a:bigint,b:bigint>, copy binary, weight double, profile binary, bands array<bigint>"
 
 
 def sketch(docs: DataFrame, counts: np.ndarray, texts: int) -> DataFrame:
-    """(id, key, copy, weight, draws, bands) of (id, text, key) rows."""
+    """(id, key, copy, weight, profile, bands) of (id, text, key) rows."""
     sent = docs.sparkSession.sparkContext.broadcast(idf_of(counts, texts))
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -205,7 +212,7 @@ def sketch(docs: DataFrame, counts: np.ndarray, texts: int) -> DataFrame:
                         "key": batch.column("key").slice(start, end - start),
                         "copy": pa.array(_fingerprints(features), pa.binary()),
                         "weight": pa.array(np.diff(total)),
-                        "draws": _lists(draws),
+                        "profile": pa.array(_profiles(features, weights), pa.binary()),
                         "bands": _lists(bands.view(np.int64)),
                     }
                 )
@@ -218,11 +225,119 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(starts, pa.array(rows.reshape(-1)))
 
 
-def _plausible(near: float) -> Column:
-    """Whether two texts (l, r) can be as similar as ``near`` by their weights and draws."""
-    agree = F.size(F.filter(F.zip_with("l.draws", "r.draws", lambda x, y: x == y), lambda same: same))
-    lighter, heavier = F.least("l.weight", "r.weight"), F.greatest("l.weight", "r.weight")
-    return (lighter >= heavier * (near - 1e-6)) & (agree >= LEAST_AGREEING)
+def _profiles(features: Features, weights: np.ndarray) -> list[bytes]:
+    texts = len(features.starts) - 1
+    owner = np.repeat(np.arange(texts), np.diff(features.starts))
+    cell = ((features.shingles >> np.uint64(24)) & np.uint64(PROFILE - 1)).astype(np.int64)
+    sums = np.bincount(owner * PROFILE + cell, weights, texts * PROFILE).reshape(texts, PROFILE)
+    # Cut at the largest number; a difference only gets smaller by it.
+    return [row.tobytes() for row in np.minimum(np.rint(sums * UNITS), 32767).astype("<i2")]
+
+
+def _as_profiles(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<i2").reshape(-1, PROFILE).astype(np.int32)
+
+
+def _can_be_near(profiles: np.ndarray, weights: np.ndarray, own: np.ndarray, weight, near: float):
+    """Whether texts can be as similar as ``near`` to one, or each to its own, by their profiles.
+
+    The similarity is s exactly if the differing weight is (1 - s) / (1 + s) of
+    the sum of both weights.
+    """
+    apart = np.abs(profiles - own).sum(axis=-1) / UNITS
+    rounding = PROFILE / UNITS + 1e-6 * (weights + weight)
+    return apart - rounding <= (1 - near) / (1 + near) * (weights + weight)
+
+
+def _plausible(pairs: DataFrame, side: DataFrame, near: float) -> DataFrame:
+    """The (x, y) pairs whose profiles allow a similarity of ``near``."""
+
+    def of(name: str) -> DataFrame:
+        return side.select(
+            F.col("key").alias(name), F.col("weight").alias(f"w{name}"), F.col("profile").alias(f"p{name}")
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            px, py = (_as_profiles(batch.column(c)) for c in ("px", "py"))
+            wx, wy = (batch.column(c).to_numpy() for c in ("wx", "wy"))
+            keep = pa.array(_can_be_near(px, wx, py, wy, near))
+            yield batch.select(["x", "y"]).filter(keep)
+
+    both = pairs.distinct().join(of("x"), "x").join(of("y"), "y").select("x", "y", "px", "py", "wx", "wy")
+    return both.mapInArrow(run, f"x {KEY}, y {KEY}")
+
+
+KEY = "struct<a:bigint,b:bigint>"
+
+
+def _meetings(inside: DataFrame, side: DataFrame, near: float) -> DataFrame:
+    """(x, y): texts of different classes that share a bucket and can be as similar as ``near``.
+
+    ``inside`` has the members of buckets with several classes: each one outside
+    its bucket's largest class meets all others.  A bucket is cut into blocks,
+    and every two of them meet in a group of their own, so no task holds more
+    than two blocks.  A pair comes out of the first band that it shares.
+    """
+    blocks_ = F.ceil(F.col("n") / MEETING).cast("int")
+    cut = (
+        inside.join(side, "key")
+        .withColumn("blocks", blocks_)
+        .withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        .withColumn("asks", F.col("root") != F.col("largest"))
+        .withColumn("is_largest", ~F.col("asks"))
+    )
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    columns = ["band", "bucket", "key", "root", "is_largest", "weight", "profile", "bands"]
+    asking = cut.where("asks").select(*columns, F.lit(True).alias("asking"), F.col("own").alias("i"), each)
+    asked = cut.select(*columns, F.lit(False).alias("asking"), F.col("own").alias("j"), each)
+    met = asking.withColumnRenamed("other", "j").unionByName(asked.withColumnRenamed("other", "i"))
+    group = ["band", "bucket", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+            marks = np.stack([rows.column(c).to_numpy() for c in group])
+            edges = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
+            # The last group may go on in the next batch.
+            for start, end in zip(np.append(0, edges[:-1]), edges, strict=False):
+                yield from _met(rows.slice(start, end - start), near)
+            last = int(edges[-1]) if len(edges) else 0
+            rest = rows.slice(last).combine_chunks().to_batches()[0] if last < len(rows) else None
+        if rest is not None:
+            yield from _met(pa.Table.from_batches([rest]), near)
+
+    ordered = met.repartition(*group).sortWithinPartitions(*group).select(*group, "asking", *columns[2:])
+    return ordered.mapInArrow(run, f"x {KEY}, y {KEY}")
+
+
+def _met(rows: pa.Table, near: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of one group, each asking text with each asked one."""
+    asking = rows.column("asking").to_numpy()
+    if not asking.any() or asking.all():
+        return
+    rows = rows.combine_chunks()
+    key, root = (
+        np.stack([rows.column(c).chunk(0).field(k).to_numpy() for k in (0, 1)], axis=1) for c in ("key", "root")
+    )
+    profiles, weights = _as_profiles(rows.column("profile")), rows.column("weight").to_numpy()
+    bands = rows.column("bands").chunk(0).flatten().to_numpy().reshape(-1, BANDS)
+    largest, band = rows.column("is_largest").to_numpy(), rows.column("band")[0].as_py()
+    asked = np.flatnonzero(~asking)
+    found: list[tuple[int, int]] = []
+    for q in np.flatnonzero(asking):
+        other = (root[asked] != root[q]).any(axis=1)
+        # Two texts outside the largest class ask each other: one of them does.
+        earlier = (key[asked, 0] > key[q, 0]) | ((key[asked, 0] == key[q, 0]) & (key[asked, 1] > key[q, 1]))
+        m = asked[other & (largest[asked] | earlier)]
+        m = m[(bands[m] == bands[q]).argmax(axis=1) == band]
+        m = m[_can_be_near(profiles[m], weights[m], profiles[q], weights[q], near)]
+        found += [(q, k) for k in m]
+    if found:
+        keys = rows.column("key").chunk(0)
+        x, y = (keys.take(pa.array([pair[k] for pair in found])) for k in (0, 1))
+        yield pa.record_batch({"x": x, "y": y})
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, near: float) -> DataFrame:
@@ -259,8 +374,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, near: float) -
                 {"x": batch.column("x"), "y": batch.column("y"), "similarity": pa.array(similar, pa.float64())}
             ).filter(keep)
 
-    key = "struct<a:bigint,b:bigint>"
-    return both.mapInArrow(run, f"x {key}, y {key}, similarity double")
+    return both.mapInArrow(run, f"x {KEY}, y {KEY}, similarity double")
 
 
 def _similarities(features: Features, idf: np.ndarray) -> list[float]:
@@ -309,59 +423,46 @@ def classes(
             F.count(F.lit(1)).alias("copies"),
             F.min("key").alias("key"),
             F.first("weight").alias("weight"),
-            F.first("draws").alias("draws"),
+            F.first("profile").alias("profile"),
             F.first("bands").alias("bands"),
         ),
         "nodes",
     )
-    members = nodes.where("weight > 0").select(
-        "key", "weight", "draws", F.posexplode("bands").alias("band", "bucket")
-    )
-    shared = members.groupBy("band", "bucket").agg(
-        F.min("key").alias("pivot"), F.count(F.lit(1)).alias("n")
-    )
+    members = nodes.where("weight > 0").select("key", F.posexplode("bands").alias("band", "bucket"))
+    shared = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"))
     shared = materialize(shared.where("n > 1"), "buckets")
-    full = materialize(members.join(shared.select("band", "bucket", "pivot"), ["band", "bucket"]), "members")
-
-    side = nodes.select("key", "weight", "draws")
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        found = (
-            pairs.distinct()
-            .join(side.select(F.col("key").alias("x"), F.struct("weight", "draws").alias("l")), "x")
-            .join(side.select(F.col("key").alias("y"), F.struct("weight", "draws").alias("r")), "y")
-        )
-        return found.where(_plausible(near)).select("x", "y")
-
+    full = materialize(members.join(shared, ["band", "bucket"]), "members")
+    side = nodes.select("key", "weight", "profile", "bands")
+
+    # The pivot of a bucket is the member with most company in all its buckets:
+    # the text that a group's copies were made from has more than any copy.
+    company = materialize(full.groupBy("key").agg(F.sum("n").alias("company")), "company")
+    pivots = materialize(
+        full.join(company, "key").groupBy("band", "bucket").agg(F.max(F.struct("company", "key"))["key"].alias("pivot")),
+        "pivots",
+    )
+    stars = full.join(pivots, ["band", "bucket"]).where("key != pivot")
     first = materialize(
-        plausible(full.where("key != pivot").select(F.col("pivot").alias("x"), F.col("key").alias("y"))),
-        "pairs",
+        _plausible(stars.select(F.col("pivot").alias("x"), F.col("key").alias("y")), side, near), "pairs"
     )
     links = materialize(_verified(first, slim, idf, near), "links")
     root = components(links.select("x", "y"), "x", "y")
 
-    # Buckets that still hold several classes: each text outside the bucket's
-    # largest class is compared with the texts of all other classes.
+    # Buckets that still hold several classes.
     placed = full.join(root, full["key"] == root["node"], "left").select(
-        "band", "bucket", "key", F.coalesce("root", "key").alias("root")
+        "band", "bucket", "n", "key", F.coalesce("root", "key").alias("root")
     )
-    parts = placed.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    parts = placed.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("m"))
     several = materialize(
         parts.groupBy("band", "bucket")
-        .agg(F.max(F.struct("n", "root"))["root"].alias("largest"), F.count(F.lit(1)).alias("parts"))
+        .agg(F.max(F.struct("m", "root"))["root"].alias("largest"), F.count(F.lit(1)).alias("parts"))
         .where("parts > 1"),
         "several",
     )
     inside = materialize(placed.join(several, ["band", "bucket"]), "open")
-    rest = inside.where("root != largest").select("band", "bucket", "key", "root")
-    cross = rest.alias("p").join(inside.alias("q"), ["band", "bucket"]).where(
-        (F.col("p.root") != F.col("q.root"))
-        & ((F.col("q.root") == F.col("q.largest")) | (F.col("p.key") < F.col("q.key")))
-    )
-    second = cross.select(
-        F.least("p.key", "q.key").alias("x"), F.greatest("p.key", "q.key").alias("y")
-    )
-    second = materialize(plausible(second.distinct().join(first, ["x", "y"], "left_anti")), "cross")
+    tried = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    met = _meetings(inside, side, near).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    second = materialize(met.join(tried, ["x", "y"], "left_anti"), "cross")
     links = materialize(links.unionByName(_verified(second, slim, idf, near)), "all-links")
     root = components(links.select("x", "y"), "x", "y")
 
