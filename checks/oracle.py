@@ -386,6 +386,20 @@ FROM named""",
       || '","last_login_date":"' || strftime(last_login_date, '%Y-%m-%d %H:%M:%S') || '"}}'
     ELSE '{"status":"' || status || '","data":{}}' END AS body
   FROM authorized""",
+        "index_responses": _with(FETCH_LOG, *ACCOUNTS, AUTHORIZED, INDEX_REQUESTS)
+        + """, final AS (
+  SELECT i.request_id, a.id, CASE WHEN i.domain IS NULL THEN 'domain required' ELSE a.status END AS status
+  FROM index_requests i JOIN authorized a ON a.request_id = i.request_id
+)
+SELECT request_id, CASE WHEN status = 'ok' THEN '{"status":"ok","data":{"id":' || id::VARCHAR || '}}'
+  ELSE '{"status":"' || status || '","data":{}}' END AS body
+FROM final""",
+        "stat_answers": _with(FETCH_LOG, *ACCOUNTS, AUTHORIZED, STATS)
+        + """, owned AS (SELECT author_id, count(*) AS crawls FROM stats GROUP BY author_id)
+SELECT request_id, status, CASE WHEN status = 'ok' THEN id END AS author_id,
+  CASE WHEN status = 'ok' THEN coalesce(crawls, 0) END AS crawls,
+  CASE WHEN status <> 'ok' THEN '{"status":"' || status || '","data":{}}' END AS body
+FROM authorized a LEFT JOIN owned o ON o.author_id = a.id AND a.status = 'ok'""",
         "user_crawl_stats": _with(FETCH_LOG, *ACCOUNTS, AUTHORIZED, STATS)
         + """, callers AS (
   SELECT id AS author_id, count(*) AS requests FROM authorized WHERE status = 'ok' GROUP BY id

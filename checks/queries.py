@@ -247,6 +247,23 @@ def authorize_requests(spark, sf_dir):
     return accounts.authorize(inputs.requests(spark, sf_dir), *_account_inputs(spark, sf_dir))
 
 
+@query
+def index_responses(spark, sf_dir):
+    return responses.index_responses(
+        inputs.index_requests(spark, sf_dir), inputs.tokens(spark, sf_dir), inputs.users(spark, sf_dir)
+    )
+
+
+@query
+def stat_answers(spark, sf_dir):
+    return responses.stat_answers(
+        inputs.requests(spark, sf_dir),
+        inputs.tokens(spark, sf_dir),
+        inputs.users(spark, sf_dir),
+        inputs.stats(spark, sf_dir),
+    )
+
+
 @query
 def current_responses(spark, sf_dir):
     return responses.current_responses(

@@ -4,12 +4,13 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webtrawl.functions import html
 from webtrawl.operators import pacing, replies, requests, search, tables, tasks
 from webtrawl.plans import index
 from webtrawl.schemas import USERS
-from webtrawl.sources import pages
+from webtrawl.sources import changes, pages
 
 NOON = dt.datetime(2024, 1, 31, 12)
 HOUR = dt.timedelta(hours=1)
@@ -153,3 +154,26 @@ def test_rate_audit_is_linear(spark):
     assert "specifiedwindowframe(RangeFrame, unboundedpreceding" in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+
+
+# State
+
+
+def test_snapshots_bound_what_is_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(changes, "SNAPSHOT_BATCHES", 4)
+    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("v", T.IntegerType())])
+    table = changes.ChangeTable(spark, str(tmp_path / "t"), schema, ("k",)).start()
+    state = {}
+    for batch in range(14):
+        table.snapshot_if_due(batch)
+        assert {r.k: r.v for r in table.current(batch).collect()} == state
+        rows = [(batch % 5, batch), (100 + batch, batch)]
+        table.write(spark.createDataFrame(rows, schema).coalesce(1), batch)
+        table.write(spark.createDataFrame(rows, schema).coalesce(1), batch)  # a batch that runs again
+        state.update(dict(rows))
+    assert {r.k: r.v for r in table.current().collect()} == state
+    since = table._since_snapshot(13)
+    read = {r[0].rsplit("/", 2)[1] for r in since.select(F.input_file_name()).distinct().collect()}
+    assert read == {"before=12", "batch=12"}
+    plan = since._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(b") == 2  # other folders are not opened

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webtrawl.functions.times import time_text
-from webtrawl.operators.accounts import OK, USER_COLUMNS, authorize
+from webtrawl.operators.accounts import OK, USER_COLUMNS, authorize, spread_nulls
+from webtrawl.operators.requests import required
 from webtrawl.sources.messages import error_body, reply_body
 
 
@@ -36,3 +37,33 @@ def current_responses(requests: DataFrame, tokens: DataFrame, users: DataFrame)
     return authorize(requests, tokens, users, keep=USER_COLUMNS).select(
         "request_id", reply_body(F.col("status"), user).alias("body")
     )
+
+
+def index_responses(requests: DataFrame, tokens: DataFrame, users: DataFrame) -> DataFrame:
+    """(request_id, body): the caller's id for an index request, or why it was refused."""
+    status = F.coalesce(required("domain"), F.col("status"))
+    answered = authorize(requests, tokens, users).withColumn("status", status)
+    data = F.struct(F.col("author_id").alias("id"))
+    return answered.select("request_id", reply_body(F.col("status"), data).alias("body"))
+
+
+def stat_answers(
+    requests: DataFrame, tokens: DataFrame, users: DataFrame, stats: DataFrame
+) -> DataFrame:
+    """(request_id, status, author_id, crawls, body), one row for each request for crawl stats.
+
+    A good request is answered by its caller's ``crawls`` rows of the stats, which
+    stay in their table (:func:`caller_stats`): a caller may have any number of
+    them.  A refused one has its body here.
+    """
+    owned = stats.groupBy(F.col("author_id").alias("_author")).agg(F.count(F.lit(1)).alias("crawls"))
+    asked = authorize(requests, tokens, users)
+    key = spread_nulls(asked["author_id"].cast("string"), asked["request_id"])
+    ok = F.col("status") == OK
+    return asked.join(owned, key == owned["_author"].cast("string"), "left").select(
+        "request_id",
+        "status",
+        "author_id",
+        F.when(ok, F.coalesce("crawls", F.lit(0))).alias("crawls"),
+        F.when(~ok, error_body(F.col("status"))).alias("body"),
+    )

@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 # Batch numbers of a stream start at 0; rows from before it come first.
 START = -1
 
+# A read goes back over at most so many batches and one snapshot of those before.
+SNAPSHOT_BATCHES = 20
+_SNAPSHOTS = "-snapshots"
+
 
 @dataclass(frozen=True)
 class ChangeTable:
@@ -40,11 +44,47 @@ class ChangeTable:
         stored = self.spark.read.schema(schema).parquet(self.path)
         return stored if before is None else stored.where(F.col("batch") < before)
 
+    def snapshot(self, before: int) -> None:
+        """Write the state that the batches before ``before`` leave.
+
+        Later reads begin there, so that they read a bounded number of batches
+        however long the history is.  Writing one again replaces it.
+        """
+        stored = self.current(before)
+        stored.write.mode("overwrite").parquet(f"{self.path}{_SNAPSHOTS}/before={before}")
+
+    def snapshot_if_due(self, batch_id: int) -> None:
+        """A snapshot every ``SNAPSHOT_BATCHES`` batches."""
+        if batch_id > 0 and batch_id % SNAPSHOT_BATCHES == 0:
+            self.snapshot(batch_id)
+
+    def _snapshots(self) -> DataFrame | None:
+        place = f"{self.path}{_SNAPSHOTS}"
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+        files = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(hadoop):
+            return None
+        schema = T.StructType([*self.schema.fields, T.StructField("before", T.LongType())])
+        return self.spark.read.schema(schema).parquet(place)
+
+    def _since_snapshot(self, before: int | None) -> DataFrame:
+        """The newest snapshot before a batch, as its last batch, and the batches after it."""
+        snapshots = self._snapshots()
+        if snapshots is not None and before is not None:
+            snapshots = snapshots.where(F.col("before") <= before)
+        newest = None if snapshots is None else snapshots.agg(F.max("before")).first()[0]
+        if newest is None:
+            return self.rows(before)
+        names = self.schema.fieldNames()
+        kept = snapshots.where(F.col("before") == newest)
+        later = self.rows(before).where(F.col("batch") >= newest)
+        return kept.select(*names, (F.col("before") - 1).alias("batch")).unionByName(later)
+
     def current(self, before: int | None = None) -> DataFrame:
         """The newest row of each key."""
         others = [n for n in self.schema.fieldNames() if n not in self.key]
         return (
-            self.rows(before)
+            self._since_snapshot(before)
             .groupBy(*self.key)
             .agg(F.max_by(F.struct(*others), "batch").alias("_row"))
             .select(*[F.col(n) if n in self.key else F.col("_row")[n].alias(n) for n in self.schema.fieldNames()])

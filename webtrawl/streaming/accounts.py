@@ -78,6 +78,8 @@ def account_handler(tables: AccountTables, secret: str | None = None) -> Handler
     key = secret or secrets.token_hex(32)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        tables.users.snapshot_if_due(batch_id)
+        tables.tokens.snapshot_if_due(batch_id)
         once = batch.dropDuplicates(["correlation_id"])
         parsed = materialize(parse_messages(once), "messages")
         message = parsed.where(~F.col("malformed")).select(

@@ -61,6 +61,7 @@ def task_handler(tables: CrawlTables, pages: DataFrame, max_depth: int = MAX_DEP
     linked = materialize(pages.select("url", page_hrefs(F.col("html")).alias("hrefs")), "links")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        tables.stats.snapshot_if_due(batch_id)
         parsed = materialize(parse_messages(batch), "messages")
         good, bad = split_malformed(parsed)
         tables.malformed.write(bad.select("correlation_id", "body"), batch_id)
