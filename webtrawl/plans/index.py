@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from webtrawl.functions.html import page_text, parse_html
 from webtrawl.operators.search import corpus_size, document_frequency, postings, tokenise
 
-# Postings of one bucket spread over this many files by url, so that a term
-# found everywhere is no single task's work.
-_SALTS = 8
-
 
 @dataclass(frozen=True)
 class Index:
@@ -60,11 +56,12 @@ def build_index(documents: DataFrame, path: str, buckets: int) -> Index:
     tokenise(documents).write.parquet(f"{path}/documents")
     stored = index.table("documents")
     bucket = term_bucket(F.col("term"), buckets)
-    salt = F.pmod(F.xxhash64("url"), F.lit(_SALTS))
+    # Rebalanced: a bucket with a term found everywhere goes to as many tasks and
+    # files as its size asks for, and small buckets share one task.
     (
         postings(stored)
         .withColumn("bucket", bucket)
-        .repartition("bucket", salt)
+        .hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "term")
         .write.partitionBy("bucket")
         .parquet(f"{path}/postings")

@@ -10,6 +10,7 @@ from webtrawl.operators.requests import search_requests as check_requests
 from webtrawl.operators.requests import split_by_status
 from webtrawl.operators.search import bm25, idf, page_of_hits, postings_hits, search_requests
 from webtrawl.plans.index import Index
+from webtrawl.sources.scratch import BROADCAST_ROWS
 
 
 def query_terms(spark: SparkSession, q: str) -> list[str]:
@@ -33,7 +34,13 @@ def search_phrase(index: Index, q: str, size: int, start: int = 0) -> DataFrame:
     corpus, mean_length = index.table("corpus").first()
     weight = sum((idf(F.lit(documents[t]), corpus) for t in terms), F.lit(0.0))
     score = bm25(weight, F.col("frequency"), F.col("n_tokens"), mean_length)
-    hits = postings_hits(index.of_terms("postings", terms), terms)
+    found = index.of_terms("postings", terms)
+    rarest = min(documents, key=documents.get)
+    if len(documents) > 1 and documents[rarest] <= BROADCAST_ROWS:
+        # The phrase is only where its rarest term is, on so many urls at most.
+        urls = index.of_terms("postings", [rarest]).select("url").distinct()
+        found = found.join(F.broadcast(urls), "url", "left_semi")
+    hits = postings_hits(found, terms)
     return page_of_hits(hits.select("url", score.alias("score")), size, start)
 
 
