@@ -87,6 +87,30 @@ def test_neighbours(spark, docs, rows, monkeypatch, range_bytes):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("near", [0.3, 0.8])
+def test_search_finds_every_like_fingerprint(spark, sf_dir, docs, near):
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    every = given.unionByName(docs.select("doc_id", "text"))
+    rows = spotsigs.neighbours(every).select("doc_id", "fingerprint", "edited_fingerprint").collect()
+    known = spotsigs.fingerprints(every)
+    asked = [r.edited_fingerprint for r in rows] + [r.fingerprint for r in rows if (r.doc_id or 0) % 10 == 0]
+    got = spotsigs.search(spark.createDataFrame([(a,) for a in asked], "fingerprint string"), known, near)
+
+    def cut(text):
+        return frozenset(text[k : k + 8] for k in range(0, len(text), 8))
+
+    sets = {r.fingerprint: cut(r.fingerprint) for r in rows}
+    assert {r.fingerprint for r in known.collect()} == set(sets)
+    want = {}
+    for a in set(asked):
+        own = cut(a)
+        for f, s in sets.items():
+            likeness = len(own & s) / len(own | s) if own | s else 1.0
+            if likeness >= near:
+                want[a, f] = likeness
+    assert {(r.query, r.fingerprint): r.likeness for r in got.collect()} == pytest.approx(want)
+
+
 def test_one_row_is_its_own_next(spark):
     got = spotsigs.neighbours(spark.createDataFrame([(4, "the old cat sat")], "doc_id int, text string")).first()
     assert got.near_next == 1.0 and got.n_chars == 15
@@ -94,6 +118,8 @@ def test_one_row_is_its_own_next(spark):
 
 def test_no_rows(nothing):
     assert spotsigs.neighbours(nothing).collect() == []
+    none = spotsigs.fingerprints(nothing)
+    assert none.collect() == [] and spotsigs.search(none, none).collect() == []
 
 
 def test_edited_texts_are_nearer_than_others(spark, sf_dir):

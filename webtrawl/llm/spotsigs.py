@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webtrawl.llm.common import empty_if_null, quoted
+from webtrawl.llm.common import empty_if_null, quoted, row_key
 from webtrawl.llm.words import WordHasher, blocks, mixed
+from webtrawl.sources.scratch import materialize
 
 # Common words of English, French, German and Spanish.
 ANCHORS = (
@@ -128,6 +129,106 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
+# --- Fingerprints against a set of queries ---------------------------------------
+
+SIMILARITY = 0.8
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fingerprint) of every whole text; a null text is empty."""
+    slim = docs.select(quoted(doc_id).alias("doc_id"), empty_if_null(quoted(text)).alias("text"))
+    kind = slim.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer()
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for start, end in blocks(texts, BLOCK_CHARS):
+                sets, starts = signer(texts[start:end])
+                found = [as_text(sets[starts[k] : starts[k + 1]]) for k in range(end - start)]
+                yield pa.record_batch(
+                    {
+                        "doc_id": batch.column("doc_id").slice(start, end - start),
+                        "fingerprint": pa.array(found, pa.string()),
+                    }
+                )
+
+    return slim.mapInArrow(run, f"doc_id {kind}, fingerprint string")
+
+
+def _sets(found: DataFrame) -> DataFrame:
+    """(key, fingerprint, signatures, n): each fingerprint once, with its signatures."""
+    number = (F.length("fingerprint") / 8).cast("int")
+    signature = lambda k: F.substring("fingerprint", k * 8 + 1, F.lit(8))
+    signatures = F.when(number > 0, F.transform(F.sequence(F.lit(0), number - 1), signature))
+    return (
+        found.select("fingerprint").distinct()
+        .withColumn("n", number)
+        .where("n > 0")
+        .withColumns({"signatures": signatures, "key": row_key("fingerprint")})
+    )
+
+
+def _prefixes(sets: DataFrame, counts: DataFrame, near: float) -> DataFrame:
+    """(key, n, signature) for the rarest signatures of each set.
+
+    Two sets as similar as ``near`` share one of their n - ceil(near n) + 1 first
+    signatures, in any order that is the same for all; rare ones come first.
+    """
+    each = sets.select("key", "n", F.explode("signatures").alias("signature"))
+    ranked = (
+        each.join(counts, "signature", "left")
+        .groupBy("key", "n")
+        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)), "signature"))).alias("order"))
+    )
+    first = F.col("n") - F.ceil(F.col("n") * near - 1e-9).cast("int") + 1
+    return ranked.select("key", "n", F.explode(F.slice("order", F.lit(1), first)).alias("s")).select(
+        "key", "n", F.col("s.signature").alias("signature")
+    )
+
+
+def search(queries: DataFrame, found: DataFrame, near: float = SIMILARITY) -> DataFrame:
+    """(query, fingerprint, likeness): the fingerprints at least as like each query as ``near``.
+
+    Both need a ``fingerprint`` column.  Equal fingerprints count once: join the
+    documents of either side to them.  Sets are partitioned by length, so that a
+    set meets only its own and the two neighbouring partitions, and in these only
+    sets that share a rare signature.  Pairs whose lengths rule out ``near`` are
+    not compared.  Empty fingerprints are like each other and like no others.
+    """
+    asked, known = materialize(_sets(queries), "asked"), materialize(_sets(found), "known")
+    counts = known.select(F.explode("signatures").alias("signature")).groupBy("signature").count()
+    counts = materialize(counts, "counts")
+    part = F.floor(F.log("n") / math.log(1 / near)).cast("int")
+    left = _prefixes(asked, counts, near).select(
+        F.col("key").alias("query_key"),
+        F.col("n").alias("m"),
+        "signature",
+        F.explode(F.array(part - 1, part, part + 1)).alias("part"),
+    )
+    right = _prefixes(known, counts, near).withColumn("part", part)
+    fits = F.least("m", "n") >= F.greatest("m", "n") * near - 1e-9
+    pairs = left.join(right, ["signature", "part"]).where(fits).select("query_key", "key").distinct()
+    own = asked.select(
+        F.col("key").alias("query_key"), F.col("fingerprint").alias("query"), F.col("signatures").alias("own")
+    )
+    shared = F.size(F.array_intersect("signatures", "own"))
+    likeness = shared / (F.col("n") + F.size("own") - shared)
+    return (
+        pairs.join(known, "key")
+        .join(own, "query_key")
+        .select("query", "fingerprint", likeness.alias("likeness"))
+        .where(F.col("likeness") >= near - 1e-9)
+        .unionByName(_empty_pair(queries, found))
+    )
+
+
+def _empty_pair(queries: DataFrame, found: DataFrame) -> DataFrame:
+    """The pair of the empty fingerprint with itself, where both sides have it."""
+    both = queries.select("fingerprint").intersect(found.select("fingerprint")).where("fingerprint = ''")
+    return both.select(F.col("fingerprint").alias("query"), "fingerprint", F.lit(1.0).alias("likeness"))
+
+
 # --- Each row with the next one -------------------------------------------------
 
 # Bytes of text of a range, and the most ranges there are.  A range goes through
