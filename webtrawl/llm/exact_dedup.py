@@ -100,9 +100,16 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         F.lit(True).alias("kept"),
         "text_sha256",
     )
-    shuffled = marked.where("maybe").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    groups = shuffled.groupBy("text_sha256").agg(
-        F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")
+    shuffled = materialize(
+        marked.where("maybe").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("n")),
+        "candidates",
+    )
+    # Written out, so that the join may split the rows of one text over tasks.
+    groups = materialize(
+        shuffled.groupBy("text_sha256").agg(
+            F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")
+        ),
+        "groups",
     )
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     grouped = (
