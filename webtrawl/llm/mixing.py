@@ -27,8 +27,11 @@ WEIGHTS = (5, 2, 1)
 # No source, and so no document, is taken more often than this.
 MOST_TIMES = 3
 
-# Words of a shard, which one task puts in order; narrow rows, one for a document.
-SHARD_WORDS = 5_000_000
+# Words of a shard, which one task puts in order: narrow rows, one for a document.
+# The shards of a source, one row each, are dealt their blocks in one task; a
+# source of more words than these make has larger shards.
+SHARD_WORDS = 250_000
+MOST_SHARDS = 65_536
 
 # A block has at most so many words, and the smallest target at least so many blocks.
 MOST_BLOCK_WORDS = 1_024
@@ -165,7 +168,9 @@ def mix(
         same = (name == F.coalesce("of", F.lit(""))) & (F.col("source").isNull() == F.col("empty"))
         return rows.join(sources, same).drop("of", "empty")
 
-    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
+    shards = F.least(
+        F.lit(MOST_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
+    )
     order = F.xxhash64(F.lit(seed), *keys, "size", "text_key")
     placed = with_source(units.where("size > 0")).withColumns(
         {"order": order, "shard": F.pmod(F.xxhash64(F.lit(seed + 1), "order"), shards)}
@@ -228,11 +233,12 @@ def resample(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", te
     )
     mark = F.struct("id", "source", F.col("text_key").alias("key")).alias("mark")
     # Equal rows share a mark, and so one number.
-    times = (
+    times = materialize(
         mix(slim, keep=["id"], **how)
         .where("size > 0")
         .groupBy(mark)
-        .agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("times"))
+        .agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("times")),
+        "times",
     )
     own = F.struct(
         quoted(doc_id).alias("id"),
