@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webtrawl.sources.scratch import fits_broadcast
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,19 +37,13 @@ def orderable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if ordered(f.dataType)]
 
 
-def by_batch(
-    rows: Callable[[pa.RecordBatch], dict[str, Sequence]], schema: pa.Schema
-) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for ``mapInArrow`` out of one that turns a batch into columns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = rows(batch)
-            yield pa.record_batch(
-                [pa.array(columns[f.name], f.type) for f in schema], schema=schema
-            )
-
-    return run
+def broadcast_if_measured(df: DataFrame) -> DataFrame:
+    """Hint a broadcast of ``df``, a written table, after counting its rows and all their bytes."""
+    size = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes"),
+    ).first()
+    return F.broadcast(df) if fits_broadcast(size["rows"], size["bytes"]) else df
 
 
 def quoted(name: str) -> Column:

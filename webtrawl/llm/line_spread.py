@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webtrawl.llm.common import empty_if_null, quoted, row_key
+from webtrawl.llm.common import broadcast_if_measured, empty_if_null, quoted, row_key
 from webtrawl.sources.scratch import materialize
 
 # A line on so many sites is boilerplate.
@@ -24,10 +24,12 @@ LOG_REGISTERS = 10
 # standard errors to either side.
 NEAR = 0.25
 
+BLANKS = "\t\n\x0b\x0c\r "
+
 
 def line_hash(line: Column) -> Column:
     """128 bits of a line without the blanks around it; null for a blank line."""
-    bare = F.regexp_replace(line, r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$", "")
+    bare = F.btrim(line, F.lit(BLANKS))
     key = F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(7), bare).alias("b"))
     return F.when(bare != "", key)
 
@@ -79,9 +81,11 @@ def clean(
         quoted(site).cast("string").alias("site"),
         empty_if_null(quoted(text)).alias("text"),
     )
-    lines = lines_of(slim)
+    # Read three times below: hashes and places, no text.
+    lines = materialize(lines_of(slim), "lines")
     boilerplate = materialize(spread(lines, sites), "boilerplate")
     # A document's lines to remove, as one short list; rows that repeat share it.
+    # While the lists of all documents fit a broadcast, no text moves.
     places = materialize(
         lines.select("mark", "at", "line")
         .join(boilerplate, "line", "left_semi")
@@ -95,7 +99,7 @@ def clean(
     kept = F.filter("pieces", lambda line, k: ~F.array_contains("removed", k))
     return (
         docs.select(mark.alias("mark"), F.struct("*").alias("row"))
-        .join(places, "mark", "left")
+        .join(broadcast_if_measured(places), "mark", "left")
         .select("row", pieces.alias("pieces"), removed.alias("removed"))
         .select(
             *[F.col("row")[c].alias(c) for c in rest],
