@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from webtrawl.llm.common import quoted
-from webtrawl.llm.sentencepiece_codec import MODEL, Encoder, in_two
+from webtrawl.llm.sentencepiece_codec import BLOCK_CHARS, MODEL, Encoder, in_two
+from webtrawl.llm.words import slices_of
 
 SEQUENCE = 2_048
 
@@ -137,7 +139,7 @@ def pack(
         encoder = Encoder(path)
         if encoder.library.vocab_size() > 1 << 16:
             raise ValueError("ids of this model need more than 16 bits")
-        for batch in batches:
+        for batch in chain.from_iterable(slices_of(b, "text", BLOCK_CHARS) for b in batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             names = batch.column("doc_id").to_pylist()
             kind_of = batch.column("doc_id").type

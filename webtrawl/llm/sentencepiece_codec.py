@@ -27,12 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from webtrawl.llm.common import quoted
+from webtrawl.llm.words import slices_of
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 
 # Characters of a block, or one longer text.  A block takes some 20 bytes for each.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 
 # Chunks that go through the library in one call.
 CALL_CHUNKS = 1_000
@@ -174,7 +175,7 @@ def encode_digests(
         encoder = Encoder(path)
         # Each id in decimal, a comma after it.
         names = pa.array([f"{i}," for i in range(encoder.library.vocab_size())], pa.large_string())
-        for batch in batches:
+        for batch in chain.from_iterable(slices_of(b, "text", BLOCK_CHARS) for b in batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             tokens = np.zeros(len(texts), np.int64)
             digests: list[str] = [""] * len(texts)

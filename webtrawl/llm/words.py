@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _LOW = 0x3000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -103,3 +105,17 @@ def blocks(texts: list[str], chars: int) -> list[tuple[int, int]]:
     if start < len(texts):
         found.append((start, len(texts)))
     return found
+
+
+def slices_of(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``size`` bytes of a text column, a row at least.
+
+    Only a slice at a time then becomes Python objects.
+    """
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy().astype(np.int64) + 1)
+    start = 0
+    while start < len(batch):
+        done = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield batch.slice(start, end - start)
+        start = end
