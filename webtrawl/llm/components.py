@@ -22,26 +22,29 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         .distinct(),
         "edges",
     )
-    mark = _mark(edges)
-    while True:
+    while not _are_stars(edges):
         edges = materialize(_small_star(_large_star(edges)), "edges")
-        before, mark = mark, _mark(edges)
-        if before == mark:
-            return edges
-
-
-def _mark(edges: DataFrame) -> tuple:
-    """Number and checksum of the edges, which do not change once only stars are left."""
-    return tuple(
-        edges.agg(
-            F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("node", "root")), F.lit(0))
-        ).first()
+    return edges
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node hangs on one root only, and no root hangs on another."""
+    ends = edges.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("node").alias("end"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")),
+                F.struct(F.col("root").alias("end"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")),
+            )
+        ).alias("e")
     )
+    sums = ends.groupBy("e.end").agg(F.sum("e.hangs").alias("hangs"), F.max("e.holds").alias("holds"))
+    return sums.where("hangs + holds > 1").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
-    least = both.groupBy("node").agg(F.min("root").alias("least"))
+    # Written out, so that the join may split the links of one node over tasks.
+    least = materialize(both.groupBy("node").agg(F.min("root").alias("least")), "least")
     return (
         both.join(least, "node")
         .where("root > node")
@@ -51,7 +54,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("node").agg(F.min("root").alias("least"))
+    least = materialize(edges.groupBy("node").agg(F.min("root").alias("least")), "least")
     hung = edges.join(least, "node").select(F.col("root").alias("node"), F.col("least").alias("root"))
     return (
         hung.where("node != root")
