@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from webtrawl.llm.common import empty_if_null, orderable, quoted
 from webtrawl.llm.components import components
-from webtrawl.llm.words import WordHasher, blocks, mixed, starts_of
+from webtrawl.llm.words import WordHasher, mixed, slices_of, starts_of
 from webtrawl.sources.scratch import broadcast_if_small, materialize
 
 SHINGLE = 5
@@ -105,11 +105,10 @@ def count_documents(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(), np.zeros(CELLS + 1, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for start, end in blocks(texts, BLOCK_CHARS):
-                features = shingler(texts[start:end])
-                seen[:CELLS] += np.bincount(cells_of(features.shingles), minlength=CELLS)
-                seen[CELLS] += end - start
+            for part in slices_of(batch, "text", BLOCK_CHARS):
+                features = shingler(part.column("text").to_pylist())
+                np.add.at(seen, cells_of(features.shingles), 1)
+                seen[CELLS] += len(part)
         cells = np.flatnonzero(seen)
         yield pa.record_batch({"cell": pa.array(cells, pa.int32()), "n": pa.array(seen[cells])})
 
@@ -197,9 +196,8 @@ def sketch(docs: DataFrame, counts: np.ndarray, texts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sampler, idf = Shingler(), Sampler(), sent.value
         for batch in batches:
-            text = batch.column("text").to_pylist()
-            for start, end in blocks(text, BLOCK_CHARS):
-                features = shingler(text[start:end])
+            for part in slices_of(batch, "text", BLOCK_CHARS):
+                features = shingler(part.column("text").to_pylist())
                 weights = features.counts * idf[cells_of(features.shingles)]
                 draws = sampler(features, weights)
                 bands = np.zeros((len(draws), BANDS), np.uint64)
@@ -208,8 +206,8 @@ def sketch(docs: DataFrame, counts: np.ndarray, texts: int) -> DataFrame:
                 total = np.concatenate([[0], np.cumsum(weights)])[features.starts]
                 yield pa.record_batch(
                     {
-                        "id": batch.column("id").slice(start, end - start),
-                        "key": batch.column("key").slice(start, end - start),
+                        "id": part.column("id"),
+                        "key": part.column("key"),
                         "copy": pa.array(_fingerprints(features), pa.binary()),
                         "weight": pa.array(np.diff(total)),
                         "profile": pa.array(_profiles(features, weights), pa.binary()),
@@ -364,10 +362,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, near: float) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, weigh = Shingler(), sent.value
         for batch in batches:
-            first, second = (batch.column(c).to_pylist() for c in ("first", "second"))
             similar = []
-            for start, end in blocks(first, BLOCK_CHARS):
-                features = shingler([t for k in range(start, end) for t in (first[k], second[k])])
+            for part in slices_of(batch, "first", BLOCK_CHARS):
+                first, second = (part.column(c).to_pylist() for c in ("first", "second"))
+                features = shingler([t for pair in zip(first, second, strict=True) for t in pair])
                 similar += _similarities(features, weigh)
             keep = pa.array([s >= near - 1e-9 for s in similar], pa.bool_())
             yield pa.record_batch(
@@ -493,15 +491,27 @@ def keep_one(
     Rows equal in doc_id and text are told apart by their other columns, the
     greatest staying.
     """
-    chosen = classes(docs, doc_id, text, near).groupBy("root").agg(
-        F.min(F.struct(F.col("id").isNull(), F.struct("id", "key").alias("mark")))["mark"].alias("mark")
+    mark = F.struct("id", "key").alias("mark")
+    marks = (
+        classes(docs, doc_id, text, near)
+        .groupBy("root", mark)
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .withColumn("order", F.struct(F.col("mark.id").isNull().alias("unnamed"), "mark"))
     )
-    mark = F.struct(quoted(doc_id).alias("id"), text_key(empty_if_null(quoted(text))).alias("key"))
+    marks = materialize(marks, "marks")
+    chosen = materialize(marks.groupBy("root").agg(F.min("order")["mark"].alias("best")), "chosen")
+    # Few rows go or are repeated; while they fit a broadcast, no text moves.
+    judged = marks.join(chosen, "root").withColumn("stays", F.col("mark") == F.col("best"))
+    judged = materialize(
+        judged.where(~F.col("stays") | (F.col("rows") > 1)).select("mark", "stays"), "judged"
+    )
+    own = F.struct(quoted(doc_id).alias("id"), text_key(empty_if_null(quoted(text))).alias("key"))
+    rows = docs.select(own.alias("mark"), F.struct("*").alias("row"))
+    alone = rows.join(broadcast_if_small(judged.select("mark"), "mark"), "mark", "left_anti")
     total = F.struct(*[F.col("row")[c] for c in orderable(docs)])
-    return (
-        docs.select(mark.alias("mark"), F.struct("*").alias("row"))
-        .join(chosen.select("mark"), "mark", "left_semi")
+    repeated = (
+        rows.join(broadcast_if_small(judged.where("stays").select("mark"), "mark"), "mark", "left_semi")
         .groupBy("mark")
         .agg(F.max_by("row", total).alias("row"))
-        .select("row.*")
     )
+    return alone.select("row.*").unionByName(repeated.select("row.*"))
