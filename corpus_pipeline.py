@@ -8,8 +8,18 @@ from webtrawl.llm import exact_dedup, language_id, mixing, near_dedup, sentencep
 from webtrawl.sources.scratch import materialize
 
 
+# Rows of the batches that tasks hand to Python.  Texts are long: ten thousand of
+# them, Spark's default, take tens of megabytes on both sides of each task.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; null and letterless texts go."""
+    small_batches(spark)
     return language_id.keep_known(docs)
 
 
@@ -20,16 +30,19 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates; the smallest doc_id stays."""
+    small_batches(spark)
     return near_dedup.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them; a repeated one keeps its doc_id."""
+    small_batches(spark)
     return mixing.resample(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document with their digests; decoded_sha256 shows that nothing was lost."""
+    small_batches(spark)
     return sentencepiece_codec.encode_digests(docs, with_ids=True)
 
 
