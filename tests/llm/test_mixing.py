@@ -51,6 +51,23 @@ def test_blocks_of_a_shard():
         assert (taken == mixing.take_blocks(sizes, quota, block, 3, 9)).all()
 
 
+def test_whole_copies():
+    draw = np.random.default_rng(3)
+    for _ in range(200):
+        sizes = draw.integers(1, 50, draw.integers(1, 30))
+        words = draw.integers(0, 3 * sizes + 1)
+        copies = mixing.whole_copies(sizes, words, 9)
+        assert (copies >= words // sizes).all() and (copies <= -(-words // sizes)).all()
+        assert abs((copies * sizes).sum() - words.sum()) < sizes.max()
+        assert (copies == mixing.whole_copies(sizes, words, 9)).all()
+
+
+def test_whole_copies_are_unbiased():
+    sizes, words = np.array([1000, 400, 30, 2000]), np.array([300, 320, 50, 600])
+    found = np.array([mixing.whole_copies(sizes, words, seed) for seed in range(4000)])
+    assert found.mean(axis=0) == pytest.approx(words / sizes, abs=0.04)
+
+
 def words(text):
     import re
 
@@ -94,6 +111,38 @@ def test_resample(docs, rows):
     assert all(n <= 3 * have[k] for k, n in times.items())
 
 
+def test_kept_words_follow_targets(spark):
+    """Long documents, and a tiny source that makes blocks of one word."""
+    draw = random.Random(4)
+    rows = [(k, "w " * draw.randrange(1_500, 4_500), "abc"[k % 3]) for k in range(450)]
+    rows += [(1_000 + k, "few words here", "tiny") for k in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    target = {r.source: r.target for r in mixing.mix(frame).collect()}
+    kept, longest = defaultdict(int), defaultdict(int)
+    for r in mixing.resample(frame).collect():
+        kept[r.source] += words(r.text)
+    for _, text, source in rows:
+        longest[source] = max(longest[source], words(text))
+    assert target["tiny"] == 180 == kept["tiny"]
+    assert set(kept) == set(target)
+    # Two or three shards a source, each less than one document off.
+    assert all(abs(kept[s] - target[s]) <= 0.02 * target[s] + longest[s] for s in target), (kept, target)
+
+
+def test_repeated_rows_are_told_apart(spark):
+    """Rows equal but for another column share what their words get; equal ones too."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(7, text, "a", k // 2) for k in range(400)] + [(k, text + " more", "b", k) for k in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string, other int")
+    target = {r.source: r.target for r in mixing.mix(frame, weights=(1, 2)).collect()}
+    assert target["a"] < 0.8 * 4000
+    for bound in (1_000_000, 100):
+        found = mixing.resample(frame, weights=(1, 2), task_rows=bound).collect()
+        kept = sum(words(r.text) for r in found if r.source == "a")
+        assert abs(kept - target["a"]) <= 20
+        assert len({r.other for r in found if r.source == "a"}) >= kept // 20
+
+
 def test_no_rows(nothing):
     assert mixing.mix(nothing).collect() == []
     assert mixing.resample(nothing).collect() == []

@@ -5,6 +5,8 @@ highest quotients of their targets, then within each source to its shards by
 highest quotients of their sizes, which gives an integer quota for every shard.
 A shard puts its documents into a seeded order, cuts their words into blocks, and
 takes each block as often as the quota goes round, and seeded blocks for the rest.
+Where documents must stay whole, the shard rounds what it takes of them up or down
+so that their words together stay what they were.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webtrawl.llm.common import empty_if_null, quoted, row_key
+from webtrawl.llm.common import empty_if_null, orderable, quoted, row_key
+from webtrawl.operators.ordered import TASK_ROWS, rank_rows
 from webtrawl.sources.scratch import materialize
 
 # Weights of the sources in code point order, null last, repeating.
@@ -112,6 +115,35 @@ def take_blocks(sizes: np.ndarray, quota: int, block: int, most_times: int, seed
     return np.diff(taken[inside] + times[inside] * (at - edges[inside]))
 
 
+def whole_copies(sizes: np.ndarray, words: np.ndarray, seed: int) -> np.ndarray:
+    """Copies of each document that stand for ``words`` of it: words / size, rounded up or down.
+
+    Two documents at a time move their fractions against each other, word for word
+    and by chance, until one of them is whole; long documents come first.  Each one
+    keeps its fraction as its expectation, and the words of all differ from the
+    sum of ``words`` by less than the size of the one document left to round alone.
+    """
+    copies, over = np.divmod(words, sizes)
+    size, part = sizes.tolist(), over.tolist()
+    chance = np.random.default_rng(seed).random(len(size) + 1).tolist()
+    left = None
+    for k in np.argsort(-sizes, kind="stable").tolist():
+        if not part[k]:
+            continue
+        if left is None:
+            left = k
+            continue
+        up = min(size[left] - part[left], part[k])
+        down = min(part[left], size[k] - part[k])
+        move = up if chance[k] * (up + down) < down else -down
+        part[left] += move
+        part[k] -= move
+        left = next((i for i in (left, k) if 0 < part[i] < size[i]), None)
+    if left is not None:
+        part[left] = size[left] if chance[-1] * size[left] < part[left] else 0
+    return copies + np.array(part, np.int64) // sizes
+
+
 def plan(sizes: DataFrame, weights: Sequence[int], most_times: int) -> list[dict]:
     """One entry for each source, in order: its words, target and blocks.
 
@@ -132,7 +164,7 @@ def plan(sizes: DataFrame, weights: Sequence[int], most_times: int) -> list[dict
 PLAN = "source string, source_size bigint, target double, seats bigint, block bigint"
 
 
-def mix(
+def shares(
     docs: DataFrame,
     source: str = "source",
     text: str = "text",
@@ -141,12 +173,13 @@ def mix(
     most_times: int = MOST_TIMES,
     shard_words: int = SHARD_WORDS,
     seed: int = SEED,
+    whole: bool = False,
 ) -> DataFrame:
-    """(keep…, source, text_key, size, source_size, target, taken): words the mix takes of each row.
+    """(k0…, source, size, text_key, copies, words, source_size, target): words the mix takes.
 
-    Rows equal in ``keep``, source and text share what their words get evenly.
-    Texts without words, null ones among them, are taken 0 times.  The result
-    depends on the rows and the seed alone, not on where they lie.
+    One row for each distinct ``keep`` (k0…), source and text, with the number of
+    its copies and the words taken of all of them; if ``whole``, as many as whole
+    documents have.
     """
     named = [quoted(c).alias(f"k{i}") for i, c in enumerate(keep)]
     keys = [f"k{i}" for i in range(len(keep))]
@@ -192,11 +225,12 @@ def mix(
 
     def take(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["order", *keys], kind="stable", ignore_index=True)
-        sums = (frame["size"] * frame["copies"]).to_numpy(np.int64)
+        sizes = frame["size"].to_numpy(np.int64)
+        sums = sizes * frame["copies"].to_numpy(np.int64)
         first = frame.iloc[0]
-        frame["words"] = take_blocks(
-            sums, int(first.quota), int(first.block), most_times, int(first.seed) % (1 << 63)
-        )
+        own = int(first.seed) % (1 << 63)
+        words = take_blocks(sums, int(first.quota), int(first.block), most_times, own)
+        frame["words"] = whole_copies(sizes, words, own + 1) * sizes if whole else words
         return frame[[*unit, "copies", "words"]]
 
     sent = [*unit, "copies", "order", "quota", "block", "seed"]
@@ -206,14 +240,27 @@ def mix(
         .applyInPandas(lambda frame: take(frame), f"{types}, copies bigint, words bigint")
     )
     empty = units.where("size = 0").withColumn("words", F.lit(0).cast("bigint"))
-    rows = taken.unionByName(empty.select(*taken.columns)).withColumn(
+    return with_source(taken.unionByName(empty.select(*taken.columns))).drop("seats", "block")
+
+
+def mix(
+    docs: DataFrame,
+    source: str = "source",
+    text: str = "text",
+    keep: Sequence[str] = ("doc_id",),
+    **how,
+) -> DataFrame:
+    """(keep…, source, text_key, size, source_size, target, taken): words the mix takes of each row.
+
+    Rows equal in ``keep``, source and text share what their words get evenly.
+    Texts without words, null ones among them, are taken 0 times.  The result
+    depends on the rows and the seed alone, not on where they lie.
+    """
+    rows = shares(docs, source, text, keep, **how).withColumn(
         "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))
     )
-    even = F.floor(F.col("words") / F.col("copies")) + (
-        F.col("copy") <= F.col("words") % F.col("copies")
-    ).cast("bigint")
-    return with_source(rows.withColumn("taken", even)).select(
-        *[F.col(k).alias(c) for k, c in zip(keys, keep, strict=True)],
+    return rows.withColumn("taken", _even("words")).select(
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
         "source",
         "text_key",
         "size",
@@ -223,21 +270,34 @@ def mix(
     )
 
 
-def resample(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it: its words taken by its words, rounded.
+def _even(amount: str) -> Column:
+    """What row number ``copy`` of ``copies`` gets of an amount that they share evenly."""
+    more = F.col("copy") <= F.col(amount) % F.col("copies")
+    return F.floor(F.col(amount) / F.col("copies")) + more.cast("bigint")
+
+
+def resample(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    task_rows: int = TASK_ROWS,
+    **how,
+) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, in whole documents.
 
-    A row that the mix takes less than half of is left out; texts without words are.
+    A row's number is what the mix takes of its words by its size, rounded up or
+    down so that the words of each shard stay what the mix takes, to less than one
+    document.  Texts without words are left out.
     """
     slim = docs.select(
         quoted(doc_id).alias("id"), quoted(source).alias("source"), quoted(text).alias("text")
     )
-    mark = F.struct("id", "source", F.col("text_key").alias("key")).alias("mark")
-    # Equal rows share a mark, and so one number.
+    mark = F.struct(F.col("k0").alias("id"), "source", F.col("text_key").alias("key")).alias("mark")
     times = materialize(
-        mix(slim, keep=["id"], **how)
-        .where("size > 0")
-        .groupBy(mark)
-        .agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("times")),
+        shares(slim, keep=["id"], whole=True, **how)
+        .where("words > 0")
+        .select(mark, "copies", F.expr("words div size").alias("times")),
         "times",
     )
     own = F.struct(
@@ -245,10 +305,18 @@ def resample(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", te
         quoted(source).cast("string").alias("source"),
         row_key(quoted(text)).alias("key"),
     )
+    rows = docs.select(own.alias("mark"), F.struct("*").alias("row"))
+    found = rows.join(times.where("copies = 1"), "mark").select("row", "times")
+    most = times.agg(F.max("copies")).first()[0] or 0
+    if most > 1:
+        # Rows that share a mark are numbered by all their columns, and share its copies evenly.
+        tie = row_key(*[F.col("row")[c] for c in orderable(docs)])
+        shared = rows.join(times.where("copies > 1"), "mark").withColumn("tie", tie)
+        numbered = rank_rows(shared, ["mark"], ["tie"], "copy", large=most > task_rows)
+        found = found.unionByName(numbered.select("row", _even("times").alias("times")))
     return (
-        docs.select(own.alias("mark"), F.struct("*").alias("row"))
-        .join(times.where("times > 0"), "mark")
-        .select("row", F.explode(F.sequence(F.lit(1), "times")))
+        found.where("times > 0")
+        .select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")))
         .select("row.*")
     )
 
