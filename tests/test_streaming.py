@@ -227,6 +227,53 @@ def test_auth_stream_dispatch(spark, inbox, tmp_path):
     assert "password" not in tables.users.current().columns
 
 
+def test_auth_stream_keeps_messages_without_or_with_one_id(spark, inbox, tmp_path):
+    """Only redeliveries count once; a batch that runs again writes the same."""
+    known = spark.createDataFrame([(4, "old@x", "old", NOW, NOW)], USERS.schema)
+    tables = account_stream.AccountTables.below(spark, str(tmp_path / "state")).start(known)
+
+    def ask(id_, kind, **data):
+        return message(id_, {"type": kind, "data": data})
+
+    first = ask("d", "signup", email="a@x", name="a", password="p")
+    again = {**first, "ts": (NOW + timedelta(seconds=3)).isoformat() + "Z"}
+    put(
+        inbox,
+        "1",
+        [
+            again,
+            first,
+            ask("d", "signup", email="b@x", name="b", password="p"),
+            ask("d", "login", email="old@x", password="p"),
+            ask(None, "signup", email="c@x", name="c", password="p"),
+            ask(None, "signup", email="e@x", name="e", password="p"),
+            ask(None, "login", email="c@x", password="p"),
+            ask(None, "validate", token="none"),
+            ask(None, "validate", token="none"),
+            message(None, "{"),
+        ],
+    )
+    handle = account_stream.account_handler(tables, "s")
+    written = []
+
+    def repeated(batch, batch_id):
+        for rows in (batch, batch.repartition(5)):
+            handle(rows, batch_id)
+            replies = tables.replies.rows().collect()
+            written.append(sorted((str(r.correlation_id), r.reply_to, r.body) for r in replies))
+
+    drain(messages.message_stream(spark, str(inbox)), repeated, tmp_path / "checkpoint")
+    assert written[0] == written[1]
+    found = [(i, json.loads(body)) for i, _, body in written[0]]
+    assert sorted((i, b["status"]) for i, b in found) == (
+        [("None", "Invalid token")] * 2 + [("None", "ok")] * 3 + [("None", "unknown type")] + [("d", "ok")] * 3
+    )
+    tokens = [b["data"]["token"] for _, b in found if b["status"] == "ok"]
+    assert len(set(tokens)) == 6 and all(len(t) == 36 for t in tokens)
+    users = {r.email: r.created_date for r in tables.users.current().collect()}
+    assert users == {e: NOW for e in ("old@x", "a@x", "b@x", "c@x", "e@x")}
+
+
 def test_reply_sink(spark, tmp_path):
     df = spark.createDataFrame([("a", "ok", 1), ("b", "Invalid token", None)], "correlation_id string, status string, id int")
     body = messages.reply_body(F.col("status"), F.struct("id")).alias("body")

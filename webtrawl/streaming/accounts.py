@@ -64,12 +64,35 @@ def new_token(message_id: Column, secret: str) -> Column:
     return F.concat_ws("-", *[F.substring(digest, a, n) for a, n in parts])
 
 
+def distinct_messages(messages: DataFrame) -> DataFrame:
+    """``messages`` without redeliveries, each with a ``message_id`` of its own.
+
+    A redelivery has the correlation id, reply_to and body of another message; the
+    earliest ts stays.  Messages without a correlation id are all kept, as nothing
+    tells a redelivery from a second message; equal ones are numbered.  The result
+    is the same however often and in whatever order the rows are read.
+    """
+    same = ["correlation_id", "reply_to", "body"]
+    named = F.col("correlation_id").isNotNull()
+    once = messages.where(named).groupBy(*same).agg(F.min("ts").alias("ts"))
+    own = F.sha2(F.to_json(F.struct(*same)), 256)
+    # Equal messages are counted before they meet, so that they may be many.
+    counted = messages.where(~named).groupBy(*same, "ts").agg(F.count(F.lit(1)).alias("_n"))
+    every = counted.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")))
+    at = F.col("ts").cast("string").alias("ts")
+    numbered = F.sha2(F.to_json(F.struct("reply_to", "body", at, "_k")), 256)
+    return once.withColumn("message_id", own).unionByName(
+        every.withColumn("message_id", numbered).drop("_n", "_k")
+    )
+
+
 def account_handler(tables: AccountTables, secret: str | None = None) -> Handler:
     """Handles a batch of signup, login and validate messages.
 
     ``secret`` keys the session tokens; a stream that is started again should be
     given the one it had.  Without one, a random secret holds as long as the handler.
-    A message delivered twice counts once.
+    A message delivered twice in a batch counts once, see :func:`distinct_messages`;
+    different messages that share a correlation id, or have none, all count.
 
     Within a batch sign-ups come first, then logins, then token checks; each
     step sees the tables as the steps before left them.
@@ -80,9 +103,9 @@ def account_handler(tables: AccountTables, secret: str | None = None) -> Handler
     def handle(batch: DataFrame, batch_id: int) -> None:
         tables.users.snapshot_if_due(batch_id)
         tables.tokens.snapshot_if_due(batch_id)
-        once = batch.dropDuplicates(["correlation_id"])
-        parsed = materialize(parse_messages(once), "messages")
+        parsed = materialize(parse_messages(distinct_messages(batch)), "messages")
         message = parsed.where(~F.col("malformed")).select(
+            "message_id",
             "correlation_id",
             "reply_to",
             F.col("ts").cast("timestamp_ntz").alias("ts"),
@@ -94,7 +117,7 @@ def account_handler(tables: AccountTables, secret: str | None = None) -> Handler
         users, tokens = tables.users.current(batch_id), tables.tokens.current(batch_id)
 
         signups = message.where(F.col("type") == "signup").select(
-            F.struct("ts", "correlation_id").alias("seq"), "email", "name", "reply_to"
+            F.struct("ts", "correlation_id", "message_id").alias("seq"), "email", "name", "reply_to"
         )
         signed = materialize(
             signup_batch(signups, users).join(signups.select("seq", "reply_to"), "seq"), "signed"
@@ -111,18 +134,18 @@ def account_handler(tables: AccountTables, secret: str | None = None) -> Handler
             at.alias("last_login_date"),
         )
         first_tokens = joined.select(
-            new_token(F.col("seq.correlation_id"), key).alias("token"),
+            new_token(F.col("seq.message_id"), key).alias("token"),
             F.col("id").cast("int").alias("user_id"),
             expiry(F.col("seq.ts")).alias("expire_date"),
         )
         known = users.unionByName(new_users)
 
         logins = message.where(F.col("type") == "login").select(
-            F.col("correlation_id").alias("event_id"),
+            F.struct("correlation_id", "message_id").alias("event_id"),
             "email",
             "reply_to",
             F.col("ts").alias("issued"),
-            new_token(F.col("correlation_id"), key).alias("token"),
+            new_token(F.col("message_id"), key).alias("token"),
         )
         outcome = materialize(login_batch(logins, known), "logins")
         replaced = outcome.where(F.col("status") == OK).select("token", "user_id", "expire_date")
@@ -141,10 +164,10 @@ def account_handler(tables: AccountTables, secret: str | None = None) -> Handler
         # The tables as this batch left them.
         users_now, tokens_now = tables.users.current(batch_id + 1), tables.tokens.current(batch_id + 1)
         checks = message.where(F.col("type") == "validate").select(
-            F.col("correlation_id").alias("request_id"), "token", "ts", "reply_to"
+            F.col("message_id").alias("request_id"), "token", "ts", "correlation_id", "reply_to"
         )
         checked = validate_tokens(checks, tokens_now, users_now).join(
-            checks.select("request_id", "reply_to"), "request_id"
+            checks.select("request_id", "correlation_id", "reply_to"), "request_id"
         )
 
         session = ["token", "expire_date"]
@@ -157,12 +180,12 @@ def account_handler(tables: AccountTables, secret: str | None = None) -> Handler
         )
         issued = logins.select("event_id", "email", "reply_to").join(outcome, "email")
         login_replies = issued.select(
-            F.col("event_id").alias("correlation_id"),
+            F.col("event_id.correlation_id").alias("correlation_id"),
             "reply_to",
             reply_body(F.col("status"), F.struct(*_texts(session))).alias("body"),
         )
         check_replies = checked.select(
-            F.col("request_id").alias("correlation_id"),
+            "correlation_id",
             "reply_to",
             reply_body(F.col("status"), F.struct(*_texts(USER_COLUMNS))).alias("body"),
         )
