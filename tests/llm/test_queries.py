@@ -47,3 +47,9 @@ def test_mix_comes_near_its_targets(spark, sf_dir):
     mixed = all_queries()["op3_mixing"](spark, sf_dir)
     for r in mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
         assert abs(r.taken - r.target) <= max(2, 0.01 * r.target)
+
+
+def test_links_are_named_for_what_they_are(spark, sf_dir):
+    """Only the links that built a class are counted, not all texts like a row's."""
+    columns = all_queries()["op9_near_dedup"](spark, sf_dir).columns
+    assert columns == ["doc_id", "class_id", "class_size", "links_used"]

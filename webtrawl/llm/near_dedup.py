@@ -401,8 +401,9 @@ def classes(
     """(id, key, class_id, class_size, links, root), a row for each document.
 
     ``class_id`` is the smallest doc_id of all texts linked, directly or through
-    others, at a similarity of ``near`` or more; ``links`` counts the verified
-    links of the text's shingles, those to others.  Texts with the same shingles
+    others, at a similarity of ``near`` or more; ``links`` counts the links
+    of the text's shingles to others that were verified to build the class, not all
+    texts like it: two of one class are not compared again.  Texts with the same shingles
     are copies.  Null texts and texts without a word have no shingles and are
     copies of each other.  A class without any doc_id has a null ``class_id``.
     ``key`` stands for the whole text, ``root`` for the class.

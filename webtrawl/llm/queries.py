@@ -70,7 +70,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.classes(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "links")
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", F.col("links").alias("links_used"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
