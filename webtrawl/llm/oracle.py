@@ -95,10 +95,64 @@ FROM parts WHERE NOT (part = 'prompt' AND conv_id <> chosen_id)
 """
 
 
+# CRC-32 bit by bit: 3988292384 is its polynomial, 4294967295 its first and last mask.
+TURN_TRIE = """
+WITH own AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id
+                              ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS seq
+    FROM conversations WHERE conv_id IS NOT NULL
+), hashed AS (
+    SELECT DISTINCT conv_id, xor(4294967295::BIGINT, list_reduce(
+        list_concat([4294967295::BIGINT], list_transform(range(1, length(conv_id::VARCHAR) + 1),
+                    lambda i: ascii(substr(conv_id::VARCHAR, i::INTEGER, 1))::BIGINT)),
+        lambda c, b: list_reduce(list_concat([xor(c, b)], list_transform(range(0, 8), lambda z: 0::BIGINT)),
+                                 lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1))))) % 6 AS h
+    FROM own
+), rebuilt AS (
+    SELECT r.conv_id, 0 AS part, o.seq, o.role, o.text
+    FROM hashed r JOIN own o ON o.conv_id = r.conv_id - r.conv_id % 100 AND o.seq <= r.h
+    UNION ALL
+    SELECT r.conv_id, 1, o.seq, o.role, o.text FROM hashed r JOIN own o ON o.conv_id = r.conv_id AND o.seq > r.h
+), chained AS (
+    SELECT conv_id, text, row_number() OVER w AS depth,
+           string_agg(md5(length(role)::VARCHAR || ':' || role || text), '') OVER w AS path
+    FROM rebuilt
+    WINDOW w AS (PARTITION BY conv_id ORDER BY part, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), members AS (
+    SELECT path, depth, conv_id, length(text) AS size FROM chained
+    UNION ALL SELECT '', 0, conv_id, 0 FROM hashed
+), lasts AS (
+    SELECT conv_id, max_by(path, depth) AS path FROM members GROUP BY conv_id
+), ends AS (
+    SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS sha FROM lasts GROUP BY path
+), plain AS (
+    SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved
+    FROM members GROUP BY path, depth
+), nodes AS (
+    SELECT p.*, CASE WHEN depth > 0 THEN substr(path, 1, 32 * (depth - 1)::INTEGER) END AS above FROM plain p
+), children AS (
+    SELECT above AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY above
+), counted AS (
+    SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c USING (path)
+), spread AS (
+    SELECT unnest(list_transform(range(0, depth + 1), lambda k: substr(path, 1, 32 * k::INTEGER))) AS path,
+           saved, CASE WHEN n_children = 0 THEN 1 ELSE 0 END AS leaf
+    FROM counted
+), sums AS (
+    SELECT path, sum(saved)::BIGINT AS saved_tokens, sum(leaf)::BIGINT AS n_leaves FROM spread GROUP BY path
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens,
+       coalesce(e.sha, sha256('')) AS ends_sha256
+FROM counted n JOIN sums s USING (path) LEFT JOIN ends e USING (path) LEFT JOIN nodes p ON p.path = n.above
+"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op4_preferences": PREFERENCES,
         "op5_line_spread": LINE_SPREAD,
         "op6_exact_dedup": EXACT_DEDUP,
         "op10_warc": WARC,
+        "op13_turn_trie": TURN_TRIE,
     }

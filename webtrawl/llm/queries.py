@@ -17,6 +17,7 @@ from webtrawl.llm import (
     preferences,
     sentencepiece_codec,
     spotsigs,
+    turn_trie,
     warc,
 )
 from webtrawl.llm.common import table
@@ -87,6 +88,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: build
