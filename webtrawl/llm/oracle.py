@@ -95,6 +95,68 @@ FROM parts WHERE NOT (part = 'prompt' AND conv_id <> chosen_id)
 """
 
 
+PHRASES = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+), pieces AS (
+    SELECT doc, lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts
+), split AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM pieces
+), totals AS (
+    SELECT lang, sum(len(words))::HUGEINT AS n FROM split GROUP BY lang
+), phrases AS (
+    SELECT lang, unnest(list_transform(range(1, len(words) - d + 2), lambda i: words[i : i + d - 1])) AS words
+    FROM split, (SELECT unnest(range(1, 6)) AS d) WHERE len(words) >= d
+), counts AS (
+    SELECT lang, words, count(*)::HUGEINT AS f FROM phrases GROUP BY lang, words HAVING count(*) >= 100
+), candidates AS (
+    SELECT * FROM counts WHERE len(words) > 1
+), held AS (
+    SELECT DISTINCT c.lang, c.words FROM candidates c JOIN candidates o
+      ON c.lang = o.lang AND c.f = o.f AND len(o.words) > len(c.words)
+     AND len(list_filter(range(1, len(o.words) - len(c.words) + 2),
+                         lambda i: o.words[i : i + len(c.words) - 1] = c.words)) > 0
+), cuts AS (
+    SELECT c.lang, c.words, c.f AS a, k, l.f AS l, r.f AS r, t.n, (1000 * c.f * t.n) // (l.f * r.f) AS score
+    FROM candidates c CROSS JOIN (SELECT unnest(range(1, 5)) AS k) JOIN totals t ON t.lang = c.lang
+    JOIN counts l ON l.lang = c.lang AND l.words = c.words[1 : k]
+    JOIN counts r ON r.lang = c.lang AND r.words = c.words[k + 1 :]
+    WHERE k < len(c.words)
+), lowest AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, k) AS place FROM cuts
+), ranked AS (
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank,
+           array_to_string(words, ' ') AS phrase, a, l, r, n, score
+    FROM lowest WHERE place = 1 AND (lang, words) NOT IN (SELECT lang, words FROM held)
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+VECTOR_DEDUP = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+      ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reached AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION
+    SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), least AS (
+    SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a
+), counts AS (
+    SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN counts USING (vec_id)
+"""
+
 # CRC-32 bit by bit: 3988292384 is its polynomial, 4294967295 its first and last mask.
 TURN_TRIE = """
 WITH own AS (
@@ -154,5 +216,7 @@ def all_sql() -> dict[str, str]:
         "op5_line_spread": LINE_SPREAD,
         "op6_exact_dedup": EXACT_DEDUP,
         "op10_warc": WARC,
+        "op11_phrases": PHRASES,
+        "op12_vector_dedup": VECTOR_DEDUP,
         "op13_turn_trie": TURN_TRIE,
     }

@@ -14,10 +14,12 @@ from webtrawl.llm import (
     mixing,
     near_dedup,
     packing,
+    phrases,
     preferences,
     sentencepiece_codec,
     spotsigs,
     turn_trie,
+    vector_dedup,
     warc,
 )
 from webtrawl.llm.common import table
@@ -88,6 +90,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_trie.nodes(table(spark, sf_dir, "conversations"))
 
