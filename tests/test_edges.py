@@ -1,6 +1,7 @@
 """Rows that must not be lost, and values that must not stop a job."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,32 @@ def test_a_reply_from_before_its_request_is_none(spark):
     }
 
 
+def test_replies_are_merged_without_pairs(spark):
+    """One id has a third of both sides; repeated requests and ties keep their rows."""
+    draw = random.Random(5)
+    asked, answers = [], []
+    for k in range(300):
+        asked.append(("hot" if k % 3 == 0 else f"id{k % 20}", at(draw.randrange(40)), "q"))
+        answers.append(("hot" if k % 3 == 1 else f"id{k % 20}", at(draw.randrange(40)), draw.choice(["x", "y", None])))
+    asked += [("hot", at(3), "q")] * 3 + [(None, at(0), "q"), (None, at(0), "q"), ("id1", None, "q")]
+    answers += [(None, at(1), "z"), ("id1", None, "z")]
+    schema = "correlation_id string, ts timestamp_ntz, body string"
+    wanted = []
+    for name, when, _ in asked:
+        mine = [
+            (t, b is not None, b or "") for i, t, b in answers
+            if i is not None and i == name and None not in (t, when) and when <= t <= when + dt.timedelta(seconds=5)
+        ]
+        first = min(mine, default=None)
+        body = first[2] if first and first[1] else None
+        wanted.append((name, when, first and first[0], body, "ok" if first else replies.TIMEOUT))
+    sides = [spark.createDataFrame(rows, schema) for rows in (asked, answers)]
+    for task_rows in (1_000_000, 50):
+        found = replies.match_replies(*sides, task_rows=task_rows)
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, wanted))
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString() or task_rows == 50
+
+
 # Tasks
 
 

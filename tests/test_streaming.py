@@ -1,13 +1,14 @@
 """Streams over JSON files: equal to the batch result, and once only after a restart."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webtrawl.operators import pacing
+from webtrawl.operators import pacing, replies
 from webtrawl.schemas import USERS
 from webtrawl.sources import messages
 from webtrawl.sources.changes import ChangeTable
@@ -177,39 +178,49 @@ def test_auth_stream_dispatch(spark, inbox, tmp_path):
             ask("s3", "signup", at=NOW + timedelta(seconds=1), email="new@x", name="later", password="p"),
             ask("l1", "login", email="old@x", password="p"),
             ask("l2", "login", email="nobody@x", password="p"),
+            ask("s4", "signup", name="nameless", password="p"),
+            ask("s5", "signup", email="bare@x", password="p"),
+            ask("l4", "login", password="p"),
+            ask("l5", "login", email=None),
+            ask("v0", "validate"),
             ask("u1", "dance"),
             message("m1", "{"),
         ],
     )
     drain(stream, account_stream.account_handler(tables), tmp_path / "checkpoint")
-    replies = {r.correlation_id: json.loads(r.body) for r in tables.replies.rows().collect()}
-    assert {k: v["status"] for k, v in replies.items()} == {
+    answered = {r.correlation_id: json.loads(r.body) for r in tables.replies.rows().collect()}
+    assert {k: v["status"] for k, v in answered.items()} == {
         "s1": "ok",
         "s2": "User with this email already exists",
         "s3": "User with this email already exists",
         "l1": "ok",
         "l2": "Unregistered user",
+        "s4": "email required",
+        "s5": "name required",
+        "l4": "email required",
+        "l5": "email required",
+        "v0": "Invalid token",
         "u1": "unknown type",
         "m1": "unknown type",
     }
-    assert replies["s1"]["data"]["expire_date"] == "2024-01-02 10:00:00"
-    assert len(replies["s1"]["data"]["token"]) == 36
-    assert replies["s2"]["data"] == {}
+    assert answered["s1"]["data"]["expire_date"] == "2024-01-02 10:00:00"
+    assert len(answered["s1"]["data"]["token"]) == 36
+    assert answered["s2"]["data"] == {}
 
     later = NOW + timedelta(hours=5)
     put(
         inbox,
         "2",
         [
-            ask("v1", "validate", later, token=replies["s1"]["data"]["token"]),
-            ask("v2", "validate", later, token=replies["l1"]["data"]["token"]),
-            ask("v3", "validate", later + timedelta(days=1), token=replies["s1"]["data"]["token"]),
+            ask("v1", "validate", later, token=answered["s1"]["data"]["token"]),
+            ask("v2", "validate", later, token=answered["l1"]["data"]["token"]),
+            ask("v3", "validate", later + timedelta(days=1), token=answered["s1"]["data"]["token"]),
             ask("l3", "login", later, email="old@x", password="p"),
         ],
     )
     drain(stream, account_stream.account_handler(tables), tmp_path / "checkpoint")
-    replies.update({r.correlation_id: json.loads(r.body) for r in tables.replies.rows().collect()})
-    assert replies["v1"] == {
+    answered.update({r.correlation_id: json.loads(r.body) for r in tables.replies.rows().collect()})
+    assert answered["v1"] == {
         "status": "ok",
         "data": {
             "id": 5,
@@ -220,8 +231,8 @@ def test_auth_stream_dispatch(spark, inbox, tmp_path):
         },
     }
     # The login of the same batch replaced the token.
-    assert replies["v2"]["status"] == "Invalid token"
-    assert replies["v3"]["status"] == "Token expired"
+    assert answered["v2"]["status"] == "Invalid token"
+    assert answered["v3"]["status"] == "Token expired"
     users = {r.id: (r.name, r.last_login_date) for r in tables.users.current().collect()}
     assert users == {4: ("old", later), 5: ("new", NOW)}
     assert "password" not in tables.users.current().columns
@@ -385,34 +396,123 @@ def test_page_count_stream(spark, inbox, tmp_path):
     assert latest == {"a": 3, "b": 1}
 
 
-def test_rpc_join_stream(spark, tmp_path):
-    def row(id_, seconds, body):
-        at = NOW + timedelta(seconds=seconds)
-        return {"correlation_id": id_, "ts": at.isoformat() + "Z", "body": body}
+def rpc_row(id_, seconds, body):
+    at = NOW + timedelta(seconds=seconds)
+    return {"correlation_id": id_, "ts": at.isoformat() + "Z", "body": body}
 
-    requests, answers = tmp_path / "requests", tmp_path / "replies"
-    put(requests, "1", [row("a", 0, "q"), row("b", 0, "q"), row("c", 0, "q")])
-    put(answers, "1", [row("a", 5, "yes"), row("b", 6, "late")])
-    # Later traffic moves both watermarks past the deadlines.
-    put(requests, "2", [row("z", 1000, "q")])
-    put(answers, "2", [row("y", 1000, "other")])
+
+def match_from(spark, requests, answers, out, checkpoint):
+    """Everything there is, a file a batch, and what has come out so far."""
 
     def read(folder):
         schema = "correlation_id string, ts timestamp, body string"
         return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
 
-    out = str(tmp_path / "out")
     query = (
         reply_stream.match_replies_stream(read(requests), read(answers))
         .writeStream.format("parquet")
+        .option("checkpointLocation", str(checkpoint))
+        .trigger(availableNow=True)
+        .start(str(out))
+    )
+    query.awaitTermination()
+    return [tuple(r) for r in spark.read.parquet(str(out)).collect()]
+
+
+def test_rpc_join_stream(spark, tmp_path):
+    """One row a request: a second reply in time gives none, and a restart none either."""
+    requests, answers = tmp_path / "requests", tmp_path / "replies"
+    put(requests, "1", [rpc_row("a", 0, "q"), rpc_row("b", 0, "q"), rpc_row("c", 0, "q"), rpc_row("a", 0, "q")])
+    put(answers, "1", [rpc_row("a", 5, "second"), rpc_row("b", 6, "late"), rpc_row("a", 4, "first")])
+    match_from(spark, requests, answers, tmp_path / "out", tmp_path / "checkpoint")
+    # The state outlives the stream; later traffic moves both watermarks past the deadlines.
+    put(requests, "2", [rpc_row("z", 1000, "q")])
+    put(answers, "2", [rpc_row("y", 1000, "other"), rpc_row("c", 1, "too late to be taken")])
+    got = match_from(spark, requests, answers, tmp_path / "out", tmp_path / "checkpoint")
+    rows = sorted((r[0], r[3], r[4]) for r in got)
+    assert rows[:2] == [("a", "first", "ok")] * 2
+    assert ("b", None, "Timeout exceeded") in rows
+    assert len(rows) == 4
+
+
+def test_rpc_stream_is_the_batch_form(spark, tmp_path):
+    """Whatever the order of arrival, and with an id that has a third of all messages."""
+    draw = random.Random(11)
+    asked = [(draw.choice(["hot", f"id{k % 9}", None]), draw.randrange(60)) for k in range(60)]
+    answers = [(draw.choice(["hot", f"id{k % 9}", None]), draw.randrange(60), draw.choice("xyz")) for k in range(70)]
+    folders = tmp_path / "requests", tmp_path / "replies"
+    for folder, rows in zip(folders, ([(*r, "q") for r in asked], answers), strict=True):
+        draw.shuffle(rows)
+        for k in range(3):
+            put(folder, str(k), [rpc_row(*r) for r in rows[k::3]])
+        put(folder, "9", [rpc_row("end", 100_000, "")])
+
+    def read(folder):
+        schema = "correlation_id string, ts timestamp, body string"
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+
+    query = (
+        reply_stream.match_replies_stream(*map(read, folders), late="10 minutes")
+        .writeStream.format("parquet")
         .option("checkpointLocation", str(tmp_path / "checkpoint"))
         .trigger(availableNow=True)
-        .start(out)
+        .start(str(tmp_path / "out"))
     )
     query.awaitTermination()
-    got = {r.correlation_id: (r.reply, r.status) for r in spark.read.parquet(out).collect()}
-    timeout = (None, "Timeout exceeded")
-    assert {k: got[k] for k in "abc"} == {"a": ("yes", "ok"), "b": timeout, "c": timeout}
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).where("correlation_id <=> NULL OR correlation_id != 'end'").collect()]
+    tables = [spark.read.schema("correlation_id string, ts timestamp, body string").json(str(f)) for f in folders]
+    wanted = replies.match_replies(*tables).where("correlation_id <=> NULL OR correlation_id != 'end'")
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in wanted.collect())
+    assert len(got) == 60
+
+
+def test_expired_tokens_leave_the_state(spark, tmp_path):
+    """Tokens come, go and expire in event time; what the state holds is read back."""
+    known = spark.createDataFrame([("old", NOW), ("long", NOW + timedelta(days=9))], "token string, expire_date timestamp_ntz")
+    asked, issued = tmp_path / "asked", tmp_path / "issued"
+
+    def ask(id_, token, seconds):
+        return {"request_id": id_, "token": token, "ts": (NOW + timedelta(seconds=seconds)).isoformat() + "Z"}
+
+    def issue(token, seconds, until):
+        expire = None if until is None else (NOW + timedelta(seconds=until)).isoformat()
+        return {"token": token, "expire_date": expire, "ts": (NOW + timedelta(seconds=seconds)).isoformat() + "Z"}
+
+    def run():
+        def read(folder, schema):
+            return spark.readStream.schema(schema).json(str(folder))
+
+        query = (
+            reply_stream.validate_tokens_state(
+                read(asked, "request_id string, token string, ts timestamp"),
+                read(issued, "token string, expire_date timestamp_ntz, ts timestamp"),
+                known, keep=100,
+            )
+            .writeStream.format("parquet")
+            .option("checkpointLocation", str(tmp_path / "checkpoint"))
+            .trigger(availableNow=True)
+            .start(str(tmp_path / "out"))
+        )
+        query.awaitTermination()
+        state = spark.read.format("statestore").option("stateVarName", "expiry").load(str(tmp_path / "checkpoint"))
+        held = {r.token for r in state.select("key.token").collect()}
+        return {r.request_id: r.status for r in spark.read.parquet(str(tmp_path / "out")).collect()}, held
+
+    put(asked, "1", [ask("1", "old", 0), ask("2", "old", 1), ask("3", "new", 4), ask("4", "new", 6), ask("5", "gone", 8)])
+    put(issued, "1", [issue("new", 5, 50), issue("gone", 2, 90), issue("gone", 7, None)])
+    got, held = run()
+    assert got == {"1": "ok", "2": "Token expired", "3": "Invalid token", "4": "ok", "5": "Invalid token"}
+    assert held == {"old", "long", "new"}
+    # The stream starts again where it was; then the watermark passes two expiries.
+    put(asked, "2", [ask("6", "new", 51), ask("7", "long", 51), ask("8", "long", 400), ask("9", None, 400)])
+    put(issued, "2", [issue("late", 400, 9_000)])
+    run()
+    put(asked, "3", [ask("10", "old", 500), ask("11", "late", 500)])
+    put(issued, "3", [issue("more", 500, 9_000)])
+    got, held = run()
+    assert [got[k] for k in ("6", "7", "8")] == ["Token expired", "ok", "ok"]
+    assert got["10"] == "Invalid token" and got["11"] == "ok"
+    assert held == {"long", "late", "more"}
 
 
 def test_token_ttl_stream(spark, inbox, tmp_path):

@@ -125,6 +125,44 @@ def next_value(
     return _attach(ranked, following, [*keys, "_rank"], "left").select(*df.columns, name)
 
 
+def nearest_following(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    name: str,
+    task_rows: int = TASK_ROWS,
+) -> DataFrame:
+    """The first value that is not null on a row or after it in its group, else null.
+
+    Read backwards, that is the last value met so far, so a window passes once
+    over each group.  Of a large group, each range piece hands its first value
+    to the pieces before it.
+    """
+    backwards = [F.desc(c) for c in order]
+    met = F.last(value, ignorenulls=True)
+    if not has_large_group(df, keys, task_rows):
+        so_far = Window.partitionBy(*keys).orderBy(*backwards).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, met.over(so_far))
+
+    placed = _placed(df, [*keys, *order], "following")
+    here = (
+        Window.partitionBy(*keys, "_piece").orderBy(F.desc("_place")).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    later = Window.partitionBy(*keys).orderBy(F.desc("_piece")).rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col(value).isNotNull()
+    pieces = (
+        placed.groupBy(*keys, "_piece")
+        .agg(F.min_by(F.when(known, F.col(value)), F.when(known, F.col("_place"))).alias("_first"))
+        .withColumn("_carry", F.last("_first", ignorenulls=True).over(later))
+        .drop("_first")
+    )
+    local = placed.withColumn("_here", met.over(here))
+    return _attach(local, pieces, [*keys, "_piece"]).select(
+        *df.columns, F.coalesce("_here", "_carry").alias(name)
+    )
+
+
 def running_max(
     df: DataFrame, keys: Sequence[str], index: str, value: str, name: str, piece_rows: int
 ) -> DataFrame:

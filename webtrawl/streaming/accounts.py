@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from webtrawl.functions.times import expiry, time_text, to_second
 from webtrawl.operators.accounts import OK, USER_COLUMNS, validate_tokens
+from webtrawl.operators.requests import required
 from webtrawl.operators.tables import assign_ids
 from webtrawl.plans.accounts import login_batch, signup_batch
 from webtrawl.schemas import TOKENS, USERS
@@ -178,11 +179,15 @@ def account_handler(tables: AccountTables, secret: str | None = None) -> Handler
             "reply_to",
             reply_body(F.col("status"), F.struct(*_texts(session))).alias("body"),
         )
-        issued = logins.select("event_id", "email", "reply_to").join(outcome, "email")
+        # Null-safe, so that a login without email is answered, too.
+        asked = logins.select("event_id", F.col("email").alias("_asked"), "reply_to")
+        issued = asked.join(outcome, F.col("_asked").eqNullSafe(F.col("email")))
         login_replies = issued.select(
             F.col("event_id.correlation_id").alias("correlation_id"),
             "reply_to",
-            reply_body(F.col("status"), F.struct(*_texts(session))).alias("body"),
+            reply_body(
+                F.coalesce(required("email"), F.col("status")), F.struct(*_texts(session))
+            ).alias("body"),
         )
         check_replies = checked.select(
             "correlation_id",

@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 Handler = Callable[[DataFrame, int], None]
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """Streams started from now on keep their state in RocksDB, as state processors must."""
+    spark.conf.set(_STORE, _ROCKSDB)
+
+
 def each_batch(
     stream: DataFrame, handle: Handler, checkpoint: str, every: str | None = "10 seconds"
 ) -> StreamingQuery:
