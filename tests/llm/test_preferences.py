@@ -92,3 +92,55 @@ def test_examples(spark):
 def test_no_rows(spark):
     none = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert preferences.segments(none).collect() == []
+    assert preferences.preferences(none).collect() == []
+
+
+def astray(turns):
+    """The pairs of ``preferences``, made one by one: {conv: (donor, chosen, rejected)}."""
+    learned = {c: [k for k, (role, _) in enumerate(ts) if role == "assistant"] for c, ts in turns.items()}
+    convs = sorted((c for c in turns if learned[c]), key=lambda c: (c is not None, c or 0))
+    at = {c: learned[c][((c or 0) * 31 + 7) % len(learned[c])] for c in convs}
+    found = {}
+    for k, c in enumerate(convs):
+        donor = convs[(k + 1) % len(convs)]
+        found[c] = donor, turns[c], [*turns[c][: at[c]], ("assistant", turns[donor][at[donor]][1])]
+    return found
+
+
+def written(turns):
+    text, spans = "", []
+    for role, words in turns:
+        start = len(text)
+        text += f"<|{role}|>\n{words}\n<|end|>\n"
+        if role == "assistant":
+            spans.append(f"{start + len(role) + 5}-{len(text)}")
+    return text, ",".join(spans)
+
+
+def test_preferences(spark):
+    """Every conversation with an assistant turn, compared with a plain computation."""
+    turns = defaultdict(list)
+    rows = TURNS + [(10, t, "assistant", "same") for t in range(3)] + [(11, 0, "assistant", "same")]
+    rows += [(11, 1, "user", "goes on"), (12, 0, "assistant", "same")]
+    # Two conversations of one long opening, and a hot one whose turns fill many pieces.
+    rows += [(k, t, ["user", "assistant"][t % 2], f"t{t}") for k in (20, 21) for t in range(70)]
+    for conv, turn, role, text in rows:
+        turns[conv].append(((turn is not None, turn or 0), role or "", text or ""))
+    turns = {c: [(r, t) for _, r, t in sorted(v)] for c, v in turns.items()}
+    wanted, kinds = [], set()
+    for conv, (donor, chosen, rejected) in astray(turns).items():
+        same = 0
+        while same < min(len(chosen), len(rejected)) and chosen[same] == rejected[same]:
+            same += 1
+        kinds.add((same == len(chosen), same == len(rejected)))
+        for piece in range(-(-len(chosen) // 30)):
+            lo, hi = 30 * piece, 30 * (piece + 1)
+            prompt, left = chosen[lo : min(hi, same)], chosen[max(lo, same) : hi]
+            right = rejected[max(lo, same) : hi]
+            wanted.append((conv, donor, piece, written(prompt)[0], *written(left), *written(right)))
+    # Pairs that differ, those where one side is the beginning of the other, and equal ones.
+    assert kinds == {(False, False), (False, True), (True, True)}
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    frame = frame.withColumns({c: F.lit("own") for c in ("seq", "rank", "conv", "part", "donor", "c", "of", "at")})
+    got = sorted((tuple(r) for r in preferences.preferences(frame, turns=30).collect()), key=repr)
+    assert got == sorted(wanted, key=repr)

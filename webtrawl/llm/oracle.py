@@ -66,32 +66,46 @@ WITH turns AS (
     SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS seq
     FROM conversations
-), opened AS (
-    SELECT conv_id, (row_number() OVER (PARTITION BY role, text ORDER BY conv_id) + 1) // 2 AS pair, role, text
-    FROM turns WHERE seq = 1
-), pairs AS (
-    SELECT min(conv_id) AS chosen_id, CASE WHEN count(*) = 2 THEN max(conv_id) END AS rejected_id
-    FROM opened GROUP BY role, text, pair
-), aligned AS (
-    SELECT p.chosen_id, p.rejected_id, t.seq, t.conv_id, t.role, t.text, o.role AS other_role, o.text AS other_text
-    FROM pairs p JOIN turns t ON t.conv_id IN (p.chosen_id, p.rejected_id)
-    LEFT JOIN turns o ON o.seq = t.seq
-        AND o.conv_id = CASE WHEN t.conv_id = p.chosen_id THEN p.rejected_id ELSE p.chosen_id END
+), learned AS (
+    SELECT conv_id, seq, text, row_number() OVER (PARTITION BY conv_id ORDER BY seq) AS place,
+           count(*) OVER (PARTITION BY conv_id) AS n
+    FROM turns WHERE role = 'assistant'
+), picked AS (
+    SELECT conv_id, seq, text, row_number() OVER (ORDER BY conv_id NULLS FIRST) AS number, count(*) OVER () AS last
+    FROM learned WHERE place = (coalesce(conv_id, 0) * 31 + 7) % n + 1
+), changes AS (
+    SELECT p.conv_id, p.seq AS at, d.conv_id AS donor_id, d.text AS other
+    FROM picked p JOIN picked d ON d.number = p.number % p.last + 1
+), sides AS (
+    SELECT t.conv_id, c.donor_id, t.seq, t.role, t.text, CASE WHEN t.seq < c.at THEN t.text WHEN t.seq = c.at THEN c.other END AS other
+    FROM turns t JOIN changes c ON t.conv_id IS NOT DISTINCT FROM c.conv_id
 ), split AS (
-    SELECT chosen_id, min(seq) AS split FROM aligned
-    WHERE rejected_id IS NOT NULL AND (role IS DISTINCT FROM other_role OR text IS DISTINCT FROM other_text)
-    GROUP BY chosen_id
+    SELECT conv_id, coalesce(min(CASE WHEN other IS DISTINCT FROM text THEN seq END), 1 << 40) AS split FROM sides GROUP BY conv_id
 ), parts AS (
-    SELECT a.*, CASE WHEN rejected_id IS NULL THEN 'unpaired'
-                     WHEN split IS NULL OR seq < split THEN 'prompt'
-                     WHEN conv_id = chosen_id THEN 'chosen' ELSE 'rejected' END AS part
-    FROM aligned a LEFT JOIN split USING (chosen_id)
+    SELECT s.conv_id, donor_id, seq, (seq - 1) // 1000 AS piece, 'prompt' AS part, role, text
+    FROM sides s JOIN split p ON s.conv_id IS NOT DISTINCT FROM p.conv_id WHERE seq < split
+    UNION ALL
+    SELECT s.conv_id, donor_id, seq, (seq - 1) // 1000, 'chosen', role, text
+    FROM sides s JOIN split p ON s.conv_id IS NOT DISTINCT FROM p.conv_id WHERE seq >= split
+    UNION ALL
+    SELECT s.conv_id, donor_id, seq, (seq - 1) // 1000, 'rejected', role, other
+    FROM sides s JOIN split p ON s.conv_id IS NOT DISTINCT FROM p.conv_id WHERE seq >= split AND other IS NOT NULL
+), rendered AS (
+    SELECT *, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS line FROM parts
+), placed AS (
+    SELECT *, sum(length(line)) OVER (PARTITION BY conv_id, piece, part ORDER BY seq) - length(line) AS before FROM rendered
+), spans AS (
+    SELECT *, CASE WHEN part <> 'prompt' AND role = 'assistant'
+                   THEN (before + length(role) + 5)::VARCHAR || '-' || (before + length(line))::VARCHAR END AS span
+    FROM placed
 )
-SELECT chosen_id, rejected_id, part, seq, conv_id, role,
-       '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS rendered,
-       CASE WHEN part IN ('chosen', 'rejected') AND role = 'assistant' THEN length(role) + 5 END AS loss_from,
-       CASE WHEN part IN ('chosen', 'rejected') AND role = 'assistant' THEN length(role) + 5 + length(text) + 9 END AS loss_to
-FROM parts WHERE NOT (part = 'prompt' AND conv_id <> chosen_id)
+SELECT conv_id, any_value(donor_id) AS donor_id, piece,
+       coalesce(string_agg(line, '' ORDER BY seq) FILTER (WHERE part = 'prompt'), '') AS prompt,
+       coalesce(string_agg(line, '' ORDER BY seq) FILTER (WHERE part = 'chosen'), '') AS chosen,
+       coalesce(string_agg(span, ',' ORDER BY seq) FILTER (WHERE part = 'chosen'), '') AS chosen_loss,
+       coalesce(string_agg(line, '' ORDER BY seq) FILTER (WHERE part = 'rejected'), '') AS rejected,
+       coalesce(string_agg(span, ',' ORDER BY seq) FILTER (WHERE part = 'rejected'), '') AS rejected_loss
+FROM spans GROUP BY conv_id, piece
 """
 
 

@@ -40,7 +40,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preferences.segments(table(spark, sf_dir, "conversations"))
+    return preferences.preferences(table(spark, sf_dir, "conversations"))
 
 
 def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
