@@ -81,9 +81,9 @@ def _portions(text: bytes) -> Iterator[bytes]:
 
 BLOCKS = pa.schema(
     [("lang", pa.string()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())),
-     ("ids", pa.binary()), ("own", pa.int64())]
+     ("ids", pa.binary()), ("own", pa.int64()), ("size", pa.int64())]
 )
-BLOCKS_DDL = "lang string, words array<binary>, counts array<bigint>, ids binary, own bigint"
+BLOCKS_DDL = "lang string, words array<binary>, counts array<bigint>, ids binary, own bigint, size bigint"
 
 
 class Block:
@@ -117,7 +117,7 @@ class Block:
         place[order] = np.arange(1, len(words))
         row = {
             "lang": lang, "words": [words[k] for k in order], "counts": counts[order],
-            "ids": place[ids].astype("<i4").tobytes(), "own": own,
+            "ids": pa.compress(place[ids].astype("<i4").tobytes(), "zstd", asbytes=True), "own": own, "size": len(ids),
         }
         rest = [words[k] for k in ids[own:]]
         self.__init__()
@@ -144,7 +144,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def blocks(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(block, lang, words, counts, ids, own): the words of all texts, by language."""
+    """(block, lang, words, counts, ids, own, size): the words of all texts, by language."""
     slim = docs.select(
         F.coalesce(quoted(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"),
         empty_if_null(quoted(text)).alias("text"),
@@ -162,15 +162,17 @@ def word_counts(found: DataFrame) -> DataFrame:
 
 
 def with_global_ids(found: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(block, ids, own, known): blocks with the pairs (own id, id) of their frequent words."""
+    """(block, ids, own, size, known): blocks with the pairs (own id, id) of their frequent words.
+
+    Written out, as the blocks are moved for it and read more than once.
+    """
     each = found.select("block", "lang", F.posexplode("words").alias("place", "word"))
     pair = F.struct((F.col("place") + 1).alias("own"), "id")
     names = broadcast_if_measured(frequent.select("lang", "word", "id"))
     maps = each.join(names, ["lang", "word"]).groupBy("block").agg(
         F.collect_list(pair).alias("known")
     )
-    maps = materialize(maps, "maps")
-    return found.select("block", "ids", "own").join(broadcast_if_measured(maps), "block")
+    return materialize(found.select("block", "ids", "own", "size").join(maps, "block"), "named")
 
 
 # --- Suffixes -------------------------------------------------------------------
@@ -182,14 +184,14 @@ def _suffixes(row: dict, longest: int, kind: np.dtype) -> tuple[np.ndarray, np.n
     Rows of ids padded with 0, cut at pieces' ends and infrequent words; those of
     one word are left out, as words are counted already.
     """
-    ids = np.frombuffer(row["ids"], "<i4")
+    ids = np.frombuffer(pa.decompress(row["ids"], 4 * row["size"], "zstd"), "<i4")
     known = row["known"]
     names = np.zeros(int(ids.max(initial=0)) + 1, kind)
-    own, name = (known.field(k).to_numpy() for k in (0, 1))
-    names[own] = name
+    place, name = (known.field(k).to_numpy() for k in (0, 1))
+    names[place] = name
     flat = np.concatenate([names[ids], np.zeros(longest, kind)])
-    size = row["own"]
-    at = np.flatnonzero((flat[:size] > 0) & (flat[1 : size + 1] > 0))
+    own = row["own"]
+    at = np.flatnonzero((flat[:own] > 0) & (flat[1 : own + 1] > 0))
     rows = np.zeros((len(at), longest), kind)
     open_ = np.ones(len(at), bool)
     for k in range(longest):
@@ -324,7 +326,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for k in range(len(batch)):
             yield {
                 "block": batch.column("block")[k].as_py(), "ids": batch.column("ids")[k].as_buffer(),
-                "own": batch.column("own")[k].as_py(), "known": batch.column("known")[k].values,
+                "own": batch.column("own")[k].as_py(), "size": batch.column("size")[k].as_py(), "known": batch.column("known")[k].values,
             }
 
 
