@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webtrawl.functions.html import page_hrefs
 from webtrawl.functions.links import https_flag, url_root
 from webtrawl.functions.times import expiry, seconds, to_second
+from webtrawl.operators.ordered import next_value, rank_rows
 from webtrawl.sources.pages import spread
+from webtrawl.sources.scratch import materialize
 
 AS_OF = "2024-01-31 12:00:00"
-SITE_PAGES = 10
 
 
 def as_of():
@@ -219,30 +221,23 @@ def index_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(site, url, hrefs): sites of ten pages with links of every kind."""
-    m = F.col("page_id") % SITE_PAGES
-    site = F.concat(
-        F.lit("https://s"), F.floor(F.col("page_id") / SITE_PAGES).cast("string"), F.lit(".example")
-    )
-
-    def page(prefix, n):
-        return F.concat(prefix, F.lit("p"), n.cast("string"))
-
-    return (
-        table(spark, sf_dir, "pages")
-        .select(m.alias("m"), site.alias("site"))
-        .select(
-            "site",
-            F.when(F.col("m") == 0, F.col("site"))
-            .otherwise(page(F.concat("site", F.lit("/")), F.col("m")))
-            .alias("url"),
-            F.array(
-                F.concat(page(F.lit(""), F.col("m") * 2 + 1), F.lit("#top")),
-                page(F.lit("old/../"), F.col("m") * 2 + 2),
-                page(F.concat("site", F.lit("/")), F.floor(F.col("m") / 2)),
-                page(F.lit(""), F.col("m") * 3 + 1),
-                F.lit("https://elsewhere.example/p1"),
-                F.col("site"),
-            ).alias("hrefs"),
-        )
-    )
+    """(site, url, hrefs, place): the given pages with their links, by root.
+
+    No href of the given HTML leads to a given page, so each page also gets links
+    to the two that follow it under its root, in several forms, to its root, and
+    outside.  ``place`` is its place under its root, by page_id.
+    """
+    pages = spread(table(spark, sf_dir, "pages")).select(
+        "page_id", url_root(F.col("url")).alias("site"), "url", page_hrefs(F.col("html")).alias("found")
+    )
+    placed = rank_rows(materialize(pages, "links"), ["site"], ["page_id"], "place")
+    following = next_value(placed, ["site"], ["place"], "url", "next")
+    following = next_value(following, ["site"], ["place"], "next", "after")
+    path = F.substring("after", F.char_length("site") + 2, F.char_length("after"))
+    made = F.array(
+        F.concat("next", F.lit("#top")),
+        F.concat(F.lit("old/../"), path),
+        F.col("site"),
+        F.lit("https://elsewhere.example/p1"),
+    )
+    return following.select("site", "url", F.concat("found", F.array_compact(made)).alias("hrefs"), "place")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.inputs import AS_OF, SITE_PAGES
+from checks.inputs import AS_OF
 from checks.queries import AUDIT_SECONDS, PHRASE
 
 AS_OF_SQL = f"TIMESTAMP '{AS_OF}'"
@@ -127,21 +127,30 @@ account_requests AS (
   FROM customer
 )"""
 
-SNAPSHOT = f"""
+SNAPSHOT = rf"""
 numbered AS (
-  SELECT page_id % {SITE_PAGES} AS m, 'https://s' || (page_id // {SITE_PAGES})::VARCHAR || '.example' AS site
-  FROM pages
+  SELECT {ROOT} AS site, url, html, row_number() OVER w AS place,
+    lead(url, 1) OVER w AS next_url, lead(url, 2) OVER w AS after_url
+  FROM pages WINDOW w AS (PARTITION BY {ROOT} ORDER BY page_id)
 ),
 snapshot AS (
-  SELECT site, m, CASE WHEN m = 0 THEN site ELSE site || '/p' || m::VARCHAR END AS url FROM numbered
+  SELECT site, url, place, list_concat(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1),
+    list_filter([next_url || '#top', 'old/../' || substr(after_url, length(site) + 2), site,
+      'https://elsewhere.example/p1'], lambda x: x IS NOT NULL)) AS hrefs
+  FROM numbered
 ),
-edges AS (
-  SELECT DISTINCT site, url AS src, dst FROM (
-    SELECT site, url, unnest([
-      site || '/p' || (2 * m + 1)::VARCHAR, site || '/p' || (2 * m + 2)::VARCHAR,
-      site || '/p' || (m // 2)::VARCHAR, site || '/p' || (3 * m + 1)::VARCHAR, site]) AS dst
-    FROM snapshot)
-)"""
+raw AS (
+  SELECT site, url, unnest(range(0, len(hrefs)))::INTEGER AS pos, unnest(hrefs) AS href FROM snapshot
+),
+cut AS (
+  SELECT *, regexp_replace(regexp_replace(href, '#.*$', ''), '^.*?\.\./', '') AS link0 FROM raw
+),
+linked AS (
+  SELECT site, url, pos, href, CASE WHEN contains(link0, site) THEN link0
+    WHEN contains(link0, 'http://') OR contains(link0, 'https://') THEN NULL ELSE site || '/' || link0 END AS link
+  FROM cut
+),
+edges AS (SELECT DISTINCT site, url AS src, link AS dst FROM linked WHERE link IS NOT NULL)"""
 
 # Page text
 
@@ -255,21 +264,7 @@ hits AS (
         "page_text_decoded": f"SELECT page_id, {_collapsed(_DECODED)} AS content FROM pages",
         "page_text_exact": f"SELECT page_id, {_collapsed(_DECODED)} AS content FROM pages",
         "page_links": root_links,
-        "normalize_links": _with(SNAPSHOT)
-        + """
-, raw AS (
-  SELECT site, url, unnest([0, 1, 2, 3, 4, 5]) AS pos,
-    unnest(['p' || (2 * m + 1)::VARCHAR || '#top', 'old/../p' || (2 * m + 2)::VARCHAR,
-      site || '/p' || (m // 2)::VARCHAR, 'p' || (3 * m + 1)::VARCHAR,
-      'https://elsewhere.example/p1', site]) AS href
-  FROM snapshot
-), cut AS (
-  SELECT *, regexp_replace(regexp_replace(href, '#.*$', ''), '^.*?\\.\\./', '') AS link0 FROM raw
-)
-SELECT url, pos, href, CASE WHEN contains(link0, site) THEN link0
-  WHEN contains(link0, '://') THEN NULL ELSE site || '/' || link0 END AS link FROM cut""".replace(
-            "\\\\", "\\"
-        ),
+        "normalize_links": _with(SNAPSHOT) + " SELECT url, pos, href, link FROM linked",
         "page_tokens": _with(DOCUMENTS)
         + " SELECT unnest(tokens) AS term, url, unnest(generate_series(0, n_tokens - 1))::INTEGER AS pos FROM sized",
         "term_document_frequency": _with(DOCUMENTS) + " SELECT term, documents FROM frequency",
@@ -303,7 +298,7 @@ FROM frontier f LEFT JOIN pages p ON p.url = f.url""",
         "crawl_frontier": _with(
             SNAPSHOT,
             """reach AS (
-  SELECT DISTINCT site AS root, site AS url, 0 AS depth FROM snapshot
+  SELECT site AS root, url, 0 AS depth FROM snapshot WHERE place = 1
   UNION
   SELECT r.root, e.dst, r.depth + 1 FROM reach r JOIN edges e ON e.src = r.url AND e.site = r.root
   WHERE r.depth < 3

@@ -154,14 +154,15 @@ def fetch_snapshot(spark, sf_dir):
 
 @query
 def frontier_new_links(spark, sf_dir):
-    snapshot = inputs.snapshot(spark, sf_dir).withColumnRenamed("site", "root")
+    snapshot = materialize(inputs.snapshot(spark, sf_dir).withColumnRenamed("site", "root"), "snapshot")
     return crawl.new_links(snapshot, snapshot.select("root", "url"))
 
 
 @query
 def crawl_frontier(spark, sf_dir):
-    snapshot = inputs.snapshot(spark, sf_dir)
-    seeds = snapshot.select(F.col("site").alias("root"))
+    """From the first page of each root."""
+    snapshot = materialize(inputs.snapshot(spark, sf_dir), "snapshot")
+    seeds = snapshot.where("place = 1").select(F.col("site").alias("root"), "url")
     return crawl.crawl(seeds, snapshot.select("url", "hrefs"))
 
 

@@ -57,6 +57,21 @@ def test_signup_chain(spark):
     assert got == one_by_one(signups, [], [])
 
 
+@pytest.mark.parametrize("part_rows", [200_000, 40])
+def test_long_chains_end_in_few_jobs(spark, part_rows):
+    """Chains of thousands of conflicts are settled part by part, in a bounded number of jobs."""
+    length = 10_000 if part_rows > 1_000 else 44
+    chain = [(i, f"e{(i + 1) // 2}", f"n{i // 2}") for i in range(length)]
+    apart = [(20_000 + k, f"x{k % 50}", f"y{k % 70}") for k in range(300)]
+    df = spark.createDataFrame(chain + apart, "seq bigint, email string, name string")
+    spark.sparkContext.setJobGroup(f"signups {part_rows}", "chain")
+    got = {r.seq for r in plans.accept_signups(df, rounds=2, part_rows=part_rows).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"signups {part_rows}")
+    spark.sparkContext._jsc.clearJobGroup()
+    assert got == {seq for seq, status in one_by_one(chain + apart, [], []).items() if status == "ok"}
+    assert part_rows < 1_000 or len(jobs) < 400
+
+
 def test_signup_with_missing_fields(spark):
     rows = [(1, None, "n"), (2, "e", None), (3, None, None), (4, "e", "n")]
     df = spark.createDataFrame(rows, "seq bigint, email string, name string")

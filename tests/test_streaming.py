@@ -396,6 +396,46 @@ def test_page_count_stream(spark, inbox, tmp_path):
     assert latest == {"a": 3, "b": 1}
 
 
+def test_paced_stream_is_the_schedule_of_the_whole_log(spark, tmp_path):
+    """Out of order within the lateness, over restarts; the state keeps the last starts only."""
+    draw = random.Random(2)
+    folder, out, checkpoint = tmp_path / "in", tmp_path / "out", tmp_path / "checkpoint"
+    roots = ["hot", "hot", "hot", "a", "b", None]
+    rows = [(draw.choice(roots), draw.randrange(40) / 2, k) for k in range(150)]
+    rows.sort(key=lambda r: r[1] + draw.random() * 8)
+
+    def run():
+        stream = spark.readStream.schema("root string, ts timestamp, event_id bigint").option(
+            "maxFilesPerTrigger", 1
+        ).json(str(folder))
+        query = (
+            pacing_stream.paced_stream(stream, "event_id", window_seconds=2)
+            .writeStream.format("parquet")
+            .option("checkpointLocation", str(checkpoint))
+            .trigger(availableNow=True)
+            .start(str(out))
+        )
+        query.awaitTermination()
+
+    def line(root, seconds, k):
+        return {"root": root, "ts": (NOW + timedelta(seconds=seconds)).isoformat() + "Z", "event_id": k}
+
+    for k in range(3):
+        put(folder, str(k), [line(*r) for r in rows[50 * k : 50 * (k + 1)]])
+        run()
+    put(folder, "last", [line("end", 1_000, -1)])
+    run()
+    held = spark.read.format("statestore").option("stateVarName", "starts").load(str(checkpoint))
+    kept = {r["root"]: r["n"] for r in held.groupBy("key.root").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert max(kept.values()) <= pacing.MAX_FETCHES
+    log = spark.createDataFrame(
+        [(r, NOW + timedelta(seconds=t), k) for r, t, k in rows], "root string, ts timestamp_ntz, event_id bigint"
+    )
+    wanted = pacing.paced_schedule(log, "event_id", window_seconds=2).select("root", "event_id", "start_ts", "delay_us")
+    got = spark.read.parquet(str(out)).where("root <=> NULL OR root <> 'end'").select("root", "event_id", "start_ts", "delay_us")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, wanted.collect())))
+
+
 def rpc_row(id_, seconds, body):
     at = NOW + timedelta(seconds=seconds)
     return {"correlation_id": id_, "ts": at.isoformat() + "Z", "body": body}

@@ -64,28 +64,30 @@ def collapse_blanks(text: Column) -> Column:
     return F.regexp_replace(text, F.lit(_BLANKS), F.lit(" "))
 
 
-def _named(names: dict[str, str]) -> dict[str, Column]:
-    """A map column for each first letter: lookups in a map are linear."""
-    groups: dict[str, list[str]] = {}
-    for name, value in names.items():
-        groups.setdefault(name[0], []).append(f"{name}\x02{value}")
-    # One literal for each map: thousands of them would take the planner seconds.
-    return {
-        letter: F.str_to_map(F.lit("\x01".join(items)), F.lit("\x01"), F.lit("\x02"))
-        for letter, items in groups.items()
-    }
+# Ends an entry of a table of names, and parts a name from its value.
+_ENTRY, _IS = "\x01", "\x02"
 
+# Names that most references have; they stand first in their table.
+_COMMON = ("amp", "lt", "gt", "quot", "nbsp", "copy", "middot")
 
-def _lookup(name: Column, names: dict[str, str]) -> Column:
-    found = F.lit(None).cast("string")
-    for letter, values in _named(names).items():
-        found = F.when(F.startswith(name, F.lit(letter)), F.try_element_at(values, name)).otherwise(found)
-    return found
+
+def _table(names: dict[str, str]) -> str:
+    """All names with their values in one text, so that a lookup is a small expression."""
+    ordered = sorted(names, key=lambda n: (n not in _COMMON, n))
+    return _ENTRY + "".join(f"{name}{_IS}{names[name]}{_ENTRY}" for name in ordered)
+
+
+def _lookup(name: Column, table: str) -> Column:
+    """The value of a name, null for none."""
+    at = F.instr(F.lit(table), F.concat(F.lit(_ENTRY), name, F.lit(_IS)))
+    # No value has more than two characters.
+    value = F.substring(F.lit(table), at + F.char_length(name) + 2, F.lit(3))
+    return F.when(at > 0, F.substring_index(value, _ENTRY, 1))
 
 
 # The standard names, without their semicolons, and the old ones that need none.
-_NAMES = {name[:-1]: value for name, value in entities.html5.items() if name.endswith(";")}
-_OLD_NAMES = {name: value for name, value in entities.html5.items() if not name.endswith(";")}
+_NAMES = _table({name[:-1]: value for name, value in entities.html5.items() if name.endswith(";")})
+_OLD_NAMES = _table({name: value for name, value in entities.html5.items() if not name.endswith(";")})
 
 
 def _windows_1252(code: int) -> str:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webtrawl.functions.times import expiry, to_second
 from webtrawl.operators.accounts import EMAIL_TAKEN, NAME_TAKEN, OK, UNREGISTERED
+from webtrawl.operators.components import components
+from webtrawl.operators.ordered import rank_rows
 from webtrawl.operators.requests import required
 from webtrawl.sources.scratch import materialize
 
@@ -24,17 +27,77 @@ def _first_of_both(open_rows: DataFrame) -> DataFrame:
     return by_email.select("r.seq", "email", "r.name").join(by_name, "seq", "left_semi")
 
 
-def accept_signups(signups: DataFrame) -> DataFrame:
+# Rounds before the undecided rows are taken apart, and rows of a part that a task settles.
+ROUNDS = 4
+PART_ROWS = 200_000
+
+
+def _in_order(rows: pa.Table) -> pa.Table:
+    """The rows of one part accepted when taken one by one."""
+    rows = rows.sort_by("_rank")
+    emails: set[str] = set()
+    names: set[str] = set()
+    stays = []
+    for email, name in zip(rows["email"].to_pylist(), rows["name"].to_pylist(), strict=True):
+        stays.append(email not in emails and name not in names)
+        if stays[-1]:
+            emails.add(email)
+            names.add(name)
+    return rows.filter(pa.array(stays, pa.bool_())).select(["_part", "_rank"])
+
+
+def _settle_parts(open_rows: DataFrame, part_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The accepted rows of the parts that fit a task, and the rows of larger parts.
+
+    Rows that share no email or name, not even through others, cannot meet.  So
+    the parts that hang together are settled each by itself: in order, in one pass.
+    """
+    email, name = F.xxhash64(F.lit("email"), "email"), F.xxhash64(F.lit("name"), "name")
+    found = components(open_rows.select(email.alias("a"), name.alias("b")), "a", "b")
+    # A row's email is a node with a root, unless it is the root itself.
+    roots = found.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    placed = (
+        open_rows.withColumn("_node", email)
+        .join(roots, "_node", "left")
+        .withColumn("_part", F.coalesce("_root", "_node"))
+        .drop("_node", "_root")
+    )
+    placed = materialize(placed, "parts")
+    sizes = materialize(placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size")), "sizes")
+    small = sizes.where(F.col("_size") <= part_rows).select("_part")
+    large = placed.join(sizes.where(F.col("_size") > part_rows).select("_part"), "_part", "left_semi")
+    ranked = materialize(
+        rank_rows(placed.join(small, "_part", "left_semi"), ["_part"], ["seq"], "_rank", large=False), "ranked"
+    )
+    settled = (
+        ranked.select("_part", "_rank", "email", "name")
+        .groupBy("_part")
+        .applyInArrow(_in_order, "_part bigint, _rank bigint")
+    )
+    accepted = ranked.join(settled, ["_part", "_rank"]).select("seq", "email", "name")
+    return materialize(accepted, "accepted"), materialize(large.select("seq", "email", "name"), "undecided")
+
+
+def accept_signups(signups: DataFrame, rounds: int = ROUNDS, part_rows: int = PART_ROWS) -> DataFrame:
     """(seq, email, name) of the signups accepted, as if taken one by one in ``seq`` order.
 
     A signup is accepted when no earlier *accepted* one has its email or its
     name.  Each round accepts the rows that are first among the undecided for
-    both, and drops those that meet an accepted one.  Every round decides at
-    least the earliest row left, and rounds go on until no row is left.
+    both, and drops those that meet an accepted one.  After ``rounds`` rounds,
+    what is left is taken apart into rows that hang together by emails and names;
+    parts of up to ``part_rows`` rows are settled in one pass each, whatever the
+    length of their chains.  Larger ones go on in rounds, each of which decides
+    at least the earliest row left, and are taken apart again.
     """
     open_rows = materialize(signups.select("seq", "email", "name"), "signups")
     accepted = []
+    done = 0
     while not open_rows.isEmpty():
+        done += 1
+        if done % (rounds + 1) == 0:
+            settled, open_rows = _settle_parts(open_rows, part_rows)
+            accepted.append(settled)
+            continue
         winners = materialize(_first_of_both(open_rows), "accepted")
         accepted.append(winners)
         open_rows = materialize(

@@ -29,6 +29,8 @@ def crawl(
 ) -> DataFrame:
     """(root, url, depth, state) of every url reached from the roots in ``seeds``.
 
+    A root is where its crawl starts, unless ``seeds`` has a ``url`` for it.
+
     ``pages`` holds (url, hrefs).  ``state`` is ``fetched``, ``failed`` for a url
     the snapshot lacks, or ``unvisited`` at the depth where fetching stops.
 
@@ -39,7 +41,8 @@ def crawl(
 
     With ``refetch_root`` a root that is linked to is fetched a second time.
     """
-    hop = materialize(seeds.select("root", F.col("root").alias("url")).distinct(), "hop-0")
+    start = F.col("url") if "url" in seeds.columns else F.col("root").alias("url")
+    hop = materialize(seeds.select("root", start).distinct(), "hop-0")
     hops = [hop.withColumn("depth", F.lit(0))]
     seen = hop.limit(0) if refetch_root else hop
     for depth in range(1, max_depth + 1):

@@ -11,6 +11,16 @@ from webtrawl.functions.html import page_text, parse_html
 from webtrawl.operators.search import corpus_size, document_frequency, postings, tokenise
 
 
+SCHEMAS = {
+    "documents": "url string, tokens array<string>, n_tokens int",
+    "before": "url string, tokens array<string>, n_tokens int",
+    "postings": "term string, url string, pos int, n_tokens int, bucket int",
+    "terms": "term string, documents bigint, bucket int",
+    "corpus": "corpus bigint, mean_length double",
+    "replaced": "url string",
+}
+
+
 @dataclass(frozen=True)
 class Index:
     """A stored index below ``path``.
@@ -26,7 +36,8 @@ class Index:
     buckets: int
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        # A table without rows has no folders to read the columns from.
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
 
     def of_terms(self, name: str, terms: list[str]) -> DataFrame:
         """The rows of ``terms`` in a table kept by bucket: other folders are not read."""
@@ -55,7 +66,14 @@ def build_index(documents: DataFrame, path: str, buckets: int) -> Index:
     index = Index(documents.sparkSession, path, buckets)
     tokenise(documents).write.parquet(f"{path}/documents")
     stored = index.table("documents")
-    bucket = term_bucket(F.col("term"), buckets)
+    write_postings(stored, document_frequency(stored), index)
+    corpus_size(stored).write.parquet(f"{path}/corpus")
+    return index
+
+
+def write_postings(stored: DataFrame, counts: DataFrame, index: Index) -> None:
+    """Write the postings of stored documents, and (term, documents), by term bucket."""
+    bucket = term_bucket(F.col("term"), index.buckets)
     # Rebalanced: a bucket with a term found everywhere goes to as many tasks and
     # files as its size asks for, and small buckets share one task.
     (
@@ -64,15 +82,12 @@ def build_index(documents: DataFrame, path: str, buckets: int) -> Index:
         .hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "term")
         .write.partitionBy("bucket")
-        .parquet(f"{path}/postings")
+        .parquet(f"{index.path}/postings")
     )
     (
-        document_frequency(stored)
-        .withColumn("bucket", bucket)
+        counts.withColumn("bucket", bucket)
         .repartition("bucket")
         .sortWithinPartitions("bucket", "term")
         .write.partitionBy("bucket")
-        .parquet(f"{path}/terms")
+        .parquet(f"{index.path}/terms")
     )
-    corpus_size(stored).write.parquet(f"{path}/corpus")
-    return index

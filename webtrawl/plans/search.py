@@ -10,7 +10,7 @@ from webtrawl.operators.requests import search_requests as check_requests
 from webtrawl.operators.requests import split_by_status
 from webtrawl.operators.search import bm25, idf, page_of_hits, postings_hits, search_requests
 from webtrawl.plans.index import Index
-from webtrawl.sources.scratch import BROADCAST_ROWS
+from webtrawl.sources.scratch import BROADCAST_ROWS, broadcast_if_small, materialize
 
 
 def query_terms(spark: SparkSession, q: str) -> list[str]:
@@ -38,8 +38,8 @@ def search_phrase(index: Index, q: str, size: int, start: int = 0) -> DataFrame:
     rarest = min(documents, key=documents.get)
     if len(documents) > 1 and documents[rarest] <= BROADCAST_ROWS:
         # The phrase is only where its rarest term is, on so many urls at most.
-        urls = index.of_terms("postings", [rarest]).select("url").distinct()
-        found = found.join(F.broadcast(urls), "url", "left_semi")
+        urls = materialize(index.of_terms("postings", [rarest]).select("url").distinct(), "urls")
+        found = found.join(broadcast_if_small(urls, "url"), "url", "left_semi")
     hits = postings_hits(found, terms)
     return page_of_hits(hits.select("url", score.alias("score")), size, start)
 
