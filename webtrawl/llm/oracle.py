@@ -18,10 +18,12 @@ WINDOW same AS (PARTITION BY text_sha256)
 
 WARC = """
 WITH hashed AS (
-    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex
+    SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex
     FROM pages
 ), firsts AS (
-    SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM hashed
+    SELECT *, min(page_id) OVER (PARTITION BY hex) AS first,
+           row_number() OVER (PARTITION BY hex ORDER BY page_id NULLS LAST, url NULLS FIRST) = 1 AS responds
+    FROM hashed
 )
 SELECT
     page_id,
@@ -31,8 +33,8 @@ SELECT
         CAST((CAST('0x' || substr(hex, CAST(5 * (k // 4) + 1 AS INTEGER), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31
             AS INTEGER) + 1,
         1)), '') AS payload_digest,
-    CASE WHEN page_id IS NOT DISTINCT FROM first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
-    CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to,
+    CASE WHEN responds OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN NOT responds THEN first END AS refers_to,
     true AS intact
 FROM firsts
 """

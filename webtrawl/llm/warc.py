@@ -75,24 +75,42 @@ def records(
     """(page_id, url, data, bytes, digest, refers_to): ``refers_to`` is null for responses.
 
     Of equal payloads the smallest page_id is the response, and the others are
-    revisits of it; a null id is largest.  Rows that repeat a page_id with one
-    payload are alike.  A null payload is empty.
+    revisits of it; a null id is largest.  Where several rows have that page_id,
+    one with the smallest url (null first) is the response and the others revisit
+    it, too.  Where no row has a page_id, all are responses, as there is nothing to
+    refer to.  A null payload is empty.
     """
     slim = pages.select(
         quoted(page_id).alias("page_id"),
         quoted(url).cast("string").alias("url"),
         empty_if_null(quoted(payload).cast("string")).cast("binary").alias("data"),
     ).withColumns({"bytes": F.octet_length("data"), "digest": base32_sha1("data")})
-    counted = slim.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(
-        F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")
+    # By page_id first: twins are the rows that share the smallest one.
+    by_page = slim.where(F.col("bytes") >= least_bytes).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    counted = by_page.groupBy("digest").agg(
+        F.min("page_id").alias("first"), F.sum("n").alias("n"), F.min_by("n", "page_id").alias("twins")
     )
-    repeated = materialize(counted.where("n > 1").select("digest", "first"), "repeated")
+    repeated = materialize(counted.where("n > 1").select("digest", "first", "twins"), "repeated")
     found = slim.join(broadcast_if_small(repeated, "digest"), "digest", "left")
     is_first = F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first"))
-    return found.select(
-        "page_id", "url", "data", "bytes", "digest",
-        F.when(~is_first & (F.col("bytes") >= least_bytes), F.col("first")).alias("refers_to"),
+    is_twin = F.coalesce(is_first & (F.col("twins") > 1) & (F.col("bytes") >= least_bytes), F.lit(False))
+    columns = ["page_id", "url", "data", "bytes", "digest"]
+    plain = found.where(~is_twin).select(
+        *columns, F.when(~is_first & (F.col("bytes") >= least_bytes), F.col("first")).alias("refers_to")
     )
+    if repeated.where("twins > 1").isEmpty():
+        return plain
+    # Equal twins are counted, one row for each url, before one of them is chosen.
+    twins = materialize(
+        found.where(is_twin)
+        .groupBy("page_id", "url", "digest", "bytes")
+        .agg(F.any_value("data").alias("data"), F.count(F.lit(1)).alias("n")),
+        "twins",
+    )
+    chosen = twins.groupBy("digest").agg(F.min(F.struct("url")).alias("response"))
+    each = twins.join(chosen, "digest").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
+    responds = (F.col("copy") == 1) & F.col("url").eqNullSafe(F.col("response.url"))
+    return plain.unionByName(each.select(*columns, F.when(~responds, F.col("page_id")).alias("refers_to")))
 
 
 def chunks(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
