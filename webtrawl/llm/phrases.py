@@ -77,6 +77,15 @@ def _portions(text: bytes) -> Iterator[bytes]:
     yield text[start:]
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers as their lowest bytes, then the next ones: the high bytes of small ids are all 0."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T.copy().view(kind).ravel()
+
+
 # --- Blocks ---------------------------------------------------------------------
 
 BLOCKS = pa.schema(
@@ -117,7 +126,7 @@ class Block:
         place[order] = np.arange(1, len(words))
         row = {
             "lang": lang, "words": [words[k] for k in order], "counts": counts[order],
-            "ids": pa.compress(place[ids].astype("<i4").tobytes(), "zstd", asbytes=True), "own": own, "size": len(ids),
+            "ids": pa.compress(_planes(place[ids].astype("<i4")), "zstd", asbytes=True), "own": own, "size": len(ids),
         }
         rest = [words[k] for k in ids[own:]]
         self.__init__()
@@ -184,7 +193,7 @@ def _suffixes(row: dict, longest: int, kind: np.dtype) -> tuple[np.ndarray, np.n
     Rows of ids padded with 0, cut at pieces' ends and infrequent words; those of
     one word are left out, as words are counted already.
     """
-    ids = np.frombuffer(pa.decompress(row["ids"], 4 * row["size"], "zstd"), "<i4")
+    ids = _from_planes(pa.decompress(row["ids"], 4 * row["size"], "zstd", asbytes=True), np.dtype("<i4"))
     known = row["known"]
     names = np.zeros(int(ids.max(initial=0)) + 1, kind)
     place, name = (known.field(k).to_numpy() for k in (0, 1))
@@ -335,14 +344,15 @@ NODES_DDL = "ids array<bigint>, n bigint, part boolean"
 
 
 def _packed(rows: np.ndarray, counts: np.ndarray) -> bytes:
-    data = rows.T.tobytes() + counts.astype("<u4").tobytes()
+    data = b"".join(_planes(column) for column in (*rows.T, counts.astype("<u4")))
     return pa.compress(data, "zstd", asbytes=True)
 
 
 def _unpacked(data: bytes, n: int, longest: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    size = n * longest * kind.itemsize
-    raw = pa.decompress(data, size + 4 * n, "zstd", asbytes=True)
-    return np.frombuffer(raw[:size], kind).reshape(longest, n).T, np.frombuffer(raw[size:], "<u4").astype(np.int64)
+    size = n * kind.itemsize
+    raw = pa.decompress(data, size * longest + 4 * n, "zstd", asbytes=True)
+    columns = [_from_planes(raw[k * size : (k + 1) * size], kind) for k in range(longest)]
+    return np.stack(columns, axis=1), _from_planes(raw[longest * size :], np.dtype("<u4")).astype(np.int64)
 
 
 def frequent_phrases(
