@@ -75,7 +75,7 @@ def page_text_decoded(spark, sf_dir):
 @query
 def page_text_exact(spark, sf_dir):
     return _pages(spark, sf_dir).select(
-        "page_id", html.parse_html("html")["content"].alias("content")
+        "page_id", html.exact_text(F.col("html"))["content"].alias("content")
     )
 
 

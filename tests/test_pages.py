@@ -1,5 +1,7 @@
 """Text and links of hand-written pages."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +38,40 @@ def test_text_by_parser(spark):
     assert got == {i: text for i, (_, text) in enumerate(EXACT)}
 
 
+def test_exact_text(spark):
+    """Pages whose markup is plain never reach the parser, and read the same."""
+    df = spark.createDataFrame([(i, page) for i, (page, _) in enumerate(EXACT)] + [(-1, None), (-2, "<![bad[x]]>")], "i int, html string")
+    found = df.select("i", html.plain_markup(F.col("html")).alias("plain"), html.exact_text(F.col("html")).alias("t"))
+    rows = {r.i: r for r in found.collect()}
+    assert {i: r.t.content for i, r in rows.items() if i >= 0} == {i: text for i, (_, text) in enumerate(EXACT)}
+    assert rows[-1].t.content is None and rows[-1].t.error is None
+    assert rows[-2].t.content is None and rows[-2].t.error
+    assert 4 <= sum(bool(r.plain) for r in rows.values()) < len(EXACT)
+
+
+PARTS = [
+    "<p>", "</p>", "text ", "a > b", "<b class='x'>", "</b>", '<a href="q?a=1&amp;b">', "<!-- note -->", "<!-- <p> -->",
+    "<!--> x -->", "<script>", "</script>", "if (a<b) x", "<style>p{}</style>", "<title>t</title>", "<title>a<b>c</title>",
+    "&copy; &lt;", "&amp", "<br/>", "<img alt='>'>", "<", "<1", "<textarea><p></textarea>", "</script x>", "<!DOCTYPE html>",
+    "<meta charset=utf-8>", "\n \n", "<input value=a/b>", "<p", "é&eacute;", "<svg><title>x</title></svg>", "<title>",
+]
+
+
+def test_plain_markup_reads_the_same(spark, sf_dir):
+    """Random pages that are called plain, and the given ones, are the same by pattern and by parser."""
+    draw = random.Random(8)
+    made = ["".join(draw.choice(PARTS) for _ in range(draw.randrange(1, 9))) for _ in range(3_000)]
+    given = spark.read.parquet(f"{sf_dir}/pages.parquet").select("html")
+    pages = spark.createDataFrame([(p,) for p in made], "html string").unionByName(given)
+    read = pages.where(html.plain_markup(F.col("html"))).select(
+        "html", html.page_text(F.col("html"), decode=True).alias("a"), html.parse_html("html")["content"].alias("b")
+    )
+    rows = read.collect()
+    assert len(rows) > 300
+    assert [(r.html, r.a, r.b) for r in rows if r.a != r.b] == []
+    assert given.where(~html.plain_markup(F.col("html"))).isEmpty()
+
+
 def test_text_by_pattern(spark):
     df = spark.createDataFrame([(i, EXACT[i][0]) for i in NATIVE], "i int, html string")
     got = {r.i: r.c for r in df.select("i", html.page_text(F.col("html")).alias("c")).collect()}

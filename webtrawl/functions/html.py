@@ -309,3 +309,51 @@ def parse_html(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Text and hrefs of each page, read by a parser; one pass, Arrow batches."""
     for html in pages:
         yield pd.DataFrame([_parse(page) for page in html], columns=["content", "hrefs", "error"])
+
+
+# Markup that patterns read as a parser does.  Comments without angle brackets, tags
+# whose attributes hold none, and doctypes; possessive, so that nothing is tried twice.
+_PLAIN_COMMENT = r"<!--(?!-?>)[^<>]*+(?<=--)>"
+_PLAIN_TAG = (
+    r"</?[a-zA-Z][a-zA-Z0-9]*+(?:\s++[a-zA-Z_][-\w:.]*+"
+    r"""(?:\s*+=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>=`]++))?+)*+\s*+/?>"""
+    r"|<!(?i:doctype)[^<>]*+>"
+)
+
+# Elements with rules of their own; dropped ones that are not closed, or not plainly;
+# a title with markup in it.
+_OTHER_RULES = (
+    r"(?is)<(?:textarea|iframe|xmp|noembed|noframes|noscript|plaintext|listing|svg|math)\b"
+    r"|</(?:title|script|style)(?!\s*>)"
+    r"|<(title|script|style)\b(?!.*</\1\s*>)"
+    r"|<title\b[^>]*>[^<]*+<(?!/title\s*>)"
+    # A reference that the page's end cuts off.
+    r"|&[#\w]*+\z"
+)
+
+
+def plain_markup(html: Column) -> Column:
+    """Whether the patterns read a page as the parser does; null for no page.
+
+    What is left when comments, dropped elements and tags of plain form are taken
+    out must hold no angle bracket.  NUL and lone carriage returns are not plain.
+    """
+    # A blank stands for what is taken out, so that its neighbours make no tag.
+    bare = F.regexp_replace(html, F.lit(_PLAIN_COMMENT), F.lit(" "))
+    left = F.regexp_replace(bare, F.lit(_DROP), F.lit(" "))
+    left = F.regexp_replace(left, F.lit(_PLAIN_TAG), F.lit(" "))
+    return ~F.rlike(left, F.lit("[<>\0]")) & ~F.rlike(bare, F.lit(_OTHER_RULES)) & ~F.contains(bare, F.lit("<!--"))
+
+
+def exact_text(html: Column) -> Column:
+    """(content, error) of a page: by pattern where its markup is plain, else by parser.
+
+    Only pages whose markup is not plain go to Python.  A page that the parser
+    refuses has no content, and ``error`` says why.
+    """
+    plain = F.coalesce(plain_markup(html), F.lit(True))
+    parsed = parse_html(F.when(~plain, html))
+    return F.struct(
+        F.when(plain, page_text(html, decode=True)).otherwise(parsed["content"]).alias("content"),
+        F.when(~plain, parsed["error"]).alias("error"),
+    )

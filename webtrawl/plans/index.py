@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webtrawl.functions.html import page_text, parse_html
+from webtrawl.functions.html import exact_text, page_text
 from webtrawl.operators.search import corpus_size, document_frequency, postings, tokenise
 
 
@@ -52,10 +52,15 @@ def term_bucket(term: Column, buckets: int) -> Column:
 def documents_of(
     pages: DataFrame, exact: bool = False, decode: bool = True, **options
 ) -> DataFrame:
-    """(url, content) of (url, html), entities decoded; ``exact`` reads the markup with a parser."""
+    """(url, content) of (url, html), entities decoded.
+
+    ``exact`` reads markup that patterns may misread with a parser, and adds
+    ``error`` for pages that it refuses; these have no content.
+    """
     html = F.col("html")
-    content = parse_html(html)["content"] if exact else page_text(html, decode, **options)
-    return pages.select("url", content.alias("content"))
+    if exact:
+        return pages.select("url", exact_text(html).alias("_text")).select("url", "_text.*")
+    return pages.select("url", page_text(html, decode, **options).alias("content"))
 
 
 def build_index(documents: DataFrame, path: str, buckets: int) -> Index:
