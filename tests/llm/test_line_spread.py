@@ -58,6 +58,17 @@ def test_only_lines_near_the_threshold_are_counted(spark):
     assert found == 41  # lines on 20 to 60 sites
 
 
+def test_time_is_linear_in_lines(spark):
+    """A document of very many lines, most of which go, is cleaned; a lookup by line would not end."""
+    lines = [f"line {k}" for k in range(60_000)]
+    text = "\n".join(x for k, x in enumerate(lines) for x in (x, f"own {k}", ""))
+    frame = spark.createDataFrame([(k, text.replace("own", f"own{k}"), f"s{k}") for k in range(3)], "doc_id bigint, text string, source string")
+    got = line_spread.clean(frame, sites=3).select("doc_id", "n_lines", "n_removed", "clean_text").collect()
+    for r in got:
+        assert (r.n_lines, r.n_removed) == (180_000, 60_000)
+        assert r.clean_text == "\n".join(x for k in range(60_000) for x in (f"own{r.doc_id} {k}", ""))
+
+
 def test_columns_stay(docs):
     assert line_spread.clean(docs).columns == [*docs.columns, "n_lines", "n_removed", "clean_text"]
 

@@ -68,5 +68,19 @@ def test_little_room_is_left(spark, sf_dir):
     assert used > 0.98 * sum(m.n_rows for m in matrices) * packing.SEQUENCE
 
 
+def test_blocks_go_over_batches(spark, sf_dir):
+    """Small batches and texts of both kinds fill sequences as one batch does."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = []
+    try:
+        for rows in (before, "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            found.append(sum(m.n_rows for m in packing.pack(docs).select("n_rows").collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert abs(found[0] - found[1]) <= 2
+
+
 def test_no_rows(nothing):
     assert packing.pack(nothing).collect() == []

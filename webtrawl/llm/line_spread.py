@@ -26,6 +26,9 @@ NEAR = 0.25
 
 BLANKS = "\t\n\x0b\x0c\r "
 
+# How ``marks`` has a line that goes.
+REMOVED = b"1"
+
 
 def line_hash(line: Column) -> Column:
     """128 bits of a line without the blanks around it; null for a blank line."""
@@ -62,6 +65,17 @@ def spread(lines: DataFrame, sites: int = SITES, near: float = NEAR) -> DataFram
     return estimated.where(F.col("estimate") > high).select("line").unionByName(counted.select("line"))
 
 
+def marks(at: Column) -> Column:
+    """A byte for each line up to the last of ``at``, which is in order: 1 for those in it.
+
+    A byte of a binary value is found in one step, so a document is cleaned in
+    time in proportion to its lines, however many of them go.
+    """
+    before = F.concat(F.array(F.lit(-1)), F.slice(at, F.lit(1), F.size(at) - 1))
+    step = lambda a, b: F.concat(F.repeat(F.lit("0"), b - a - 1), F.lit("1"))
+    return F.array_join(F.zip_with(before, at, step), "").cast("binary")
+
+
 def clean(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -84,27 +98,28 @@ def clean(
     # Read three times below: hashes and places, no text.
     lines = materialize(lines_of(slim), "lines")
     boilerplate = materialize(spread(lines, sites), "boilerplate")
-    # A document's lines to remove, as one short list; rows that repeat share it.
-    # While the lists of all documents fit a broadcast, no text moves.
+    # A document's lines to remove, marked up to the last one; rows that repeat share it.
+    # While the marks of all documents fit a broadcast, no text moves.
     places = materialize(
         lines.select("mark", "at", "line")
         .join(boilerplate, "line", "left_semi")
         .groupBy("mark")
-        .agg(F.collect_set("at").alias("places")),
+        .agg(F.array_sort(F.collect_set("at")).alias("at"))
+        .select("mark", F.size("at").alias("n"), marks(F.col("at")).alias("marks")),
         "places",
     )
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed", "clean_text")]
     pieces = F.split(empty_if_null(F.col("row")[text]), "\n")
-    removed = F.coalesce("places", F.array().cast("array<int>"))
-    kept = F.filter("pieces", lambda line, k: ~F.array_contains("removed", k))
+    stays = lambda line, k: F.coalesce(F.substring("marks", k + 1, F.lit(1)) != F.lit(REMOVED), F.lit(True))
+    kept = F.filter("pieces", stays)
     return (
         docs.select(mark.alias("mark"), F.struct("*").alias("row"))
         .join(broadcast_if_measured(places), "mark", "left")
-        .select("row", pieces.alias("pieces"), removed.alias("removed"))
+        .select("row", pieces.alias("pieces"), "n", "marks")
         .select(
             *[F.col("row")[c].alias(c) for c in rest],
             F.size("pieces").cast("bigint").alias("n_lines"),
-            F.size("removed").cast("bigint").alias("n_removed"),
+            F.coalesce("n", F.lit(0)).cast("bigint").alias("n_removed"),
             F.array_join(kept, "\n").alias("clean_text"),
         )
     )

@@ -5,7 +5,8 @@ packed: the longest piece first, each into the sequence with the least room that
 still takes it, which a segment tree over the remaining capacities finds.
 
 A task packs the documents of one block together and needs no others, so nothing
-is shuffled; a block of millions of tokens leaves next to no room unused.
+is shuffled; a block of a million tokens leaves next to no room unused.  Blocks go
+over the batches that a task gets, so that only its last one may be small.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from webtrawl.llm.common import quoted
 from webtrawl.llm.sentencepiece_codec import BLOCK_CHARS, MODEL, Encoder, in_two
-from webtrawl.llm.words import slices_of
+from webtrawl.llm.words import slices_of, starts_of
 
 SEQUENCE = 2_048
 
@@ -111,6 +112,31 @@ PACKED = (
 )
 
 
+class _Block:
+    """Encoded texts that are packed together."""
+
+    def __init__(self):
+        self.chars = 0
+        self.ids: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.names: list = []
+
+    def add(self, ids: np.ndarray, starts: np.ndarray, names: list) -> None:
+        self.ids.append(ids.astype("<u2"))
+        self.sizes.append(np.diff(starts))
+        self.names += names
+
+    def packed(self, sequence: int, matrix_rows: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        if not self.names:
+            return
+        ids, sizes = np.concatenate(self.ids), np.concatenate(self.sizes)
+        starts = starts_of(sizes)
+        pieces = pieces_of(sizes, sequence)
+        rows = best_fit_decreasing([p.size for p in pieces], sequence)
+        for first in range(0, len(rows), matrix_rows):
+            yield _matrix(rows[first : first + matrix_rows], pieces, ids, starts, self.names, kind, sequence)
+
+
 def pack(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -139,18 +165,19 @@ def pack(
         encoder = Encoder(path)
         if encoder.library.vocab_size() > 1 << 16:
             raise ValueError("ids of this model need more than 16 bits")
+        block = _Block()
         for batch in chain.from_iterable(slices_of(b, "text", BLOCK_CHARS) for b in batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            names = batch.column("doc_id").to_pylist()
-            kind_of = batch.column("doc_id").type
+            names, kind_of = batch.column("doc_id").to_pylist(), batch.column("doc_id").type
+            chars = sum(map(len, texts))
+            if block.chars + chars > BLOCK_CHARS:
+                yield from block.packed(sequence, matrix_rows, kind_of)
+                block = _Block()
+            block.chars += chars
             for places, part in in_two(texts):
-                ids, starts = encoder.encode(part)
-                ids = ids.astype("<u2")
-                pieces = pieces_of(np.diff(starts), sequence)
-                packed = best_fit_decreasing([p.size for p in pieces], sequence)
-                for first in range(0, len(packed), matrix_rows):
-                    rows = packed[first : first + matrix_rows]
-                    yield _matrix(rows, pieces, ids, starts, [names[k] for k in places], kind_of, sequence)
+                block.add(*encoder.encode(part), [names[k] for k in places])
+        if block.names:
+            yield from block.packed(sequence, matrix_rows, kind_of)
 
     return slim.mapInArrow(run, PACKED.format(kind=kind))
 
