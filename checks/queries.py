@@ -119,10 +119,15 @@ def search_phrase(spark, sf_dir):
     return search_plans.search_phrase(built, PHRASE, size=10, start=5)
 
 
+def _raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Written out: the check names each parameter many times, and each would be made anew.
+    return materialize(inputs.search_requests(spark, sf_dir), "requests")
+
+
 @query
 def search_batch(spark, sf_dir):
     documents = materialize(search.tokenise(_documents(spark, sf_dir)), "tokens")
-    hits, _ = search_plans.search_batch(documents, inputs.search_requests(spark, sf_dir))
+    hits, _ = search_plans.search_batch(documents, _raw_requests(spark, sf_dir))
     return hits
 
 

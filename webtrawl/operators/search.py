@@ -1,9 +1,9 @@
 """Phrase search: token tables, phrase matches, relevance, paging.
 
-Matching compares whole runs of tokens.  A position of a document is looked up
-by its first two tokens, which tell the lengths worth trying there; the runs of
-those lengths then equal a phrase or do not.  No pairs of partial matches
-arise, so the joins give real hits only, however common the single words are.
+Matching compares whole runs of tokens.  A filter of all phrases, of bounded size,
+tells which runs of a document may equal one (``operators/runs.py``); these then
+equal a phrase or do not.  No pairs of partial matches arise, so the joins give
+real hits only, however common the single words are.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from webtrawl.functions.text import phrase, tokens
 from webtrawl.functions.times import floor_div
 from webtrawl.operators.ordered import TASK_ROWS, rank_rows
 from webtrawl.operators.requests import LARGEST, MAX_LIMIT
+from webtrawl.operators.runs import possible_runs
 from webtrawl.sources.scratch import fits_broadcast, materialize
 
 # BM25 parameters; scores are compared at this many digits.
@@ -84,19 +85,17 @@ def asked_phrases(queries: DataFrame) -> DataFrame:
         queries.withColumn("terms", tokens(F.col("q")))
         .where(F.size("terms") > 0)
         .withColumn("phrase", phrase(F.col("terms")))
-        .drop("q")
     )
 
 
 def phrase_blocks(phrases: DataFrame) -> DataFrame:
-    """(phrase, offset, block, length, lead, blocks): the phrases in blocks of bounded length.
+    """(phrase, blocks, offset, block): phrases longer than a block, cut into several.
 
-    A phrase longer than a block is cut into several, the last one aligned to
-    its end; it is found where all its blocks are found at their offsets.
+    The last one is aligned to the phrase's end; a phrase is found where all its
+    blocks are found at their offsets.
     """
     count = F.ceil(F.col("length") / BLOCK).cast("int")
-    last = F.greatest(F.col("length") - BLOCK, F.lit(0))
-    terms = F.col("terms")
+    last = F.col("length") - BLOCK
     return (
         phrases.withColumn("blocks", count)
         .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -105,91 +104,68 @@ def phrase_blocks(phrases: DataFrame) -> DataFrame:
             "phrase",
             "blocks",
             "offset",
-            phrase(F.slice(terms, F.col("offset") + 1, F.lit(BLOCK))).alias("block"),
-            F.least("length", F.lit(BLOCK)).alias("length"),
-            phrase(F.slice(terms, F.col("offset") + 1, F.lit(2))).alias("lead"),
+            phrase(F.slice("terms", F.col("offset") + 1, F.lit(BLOCK))).alias("block"),
         )
     )
 
 
-def term_counts(tokenised: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(phrase, url, n_tokens, frequency) of wanted single terms, one column ``phrase``."""
-    return (
-        tokenised.select("url", "n_tokens", F.explode("tokens").alias("phrase"))
-        .join(wanted, "phrase", "left_semi")
-        .groupBy("phrase", "url", "n_tokens")
-        .agg(F.count(F.lit(1)).alias("frequency"))
-    )
+def short_counts(tokenised: DataFrame, short: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """(phrase, url, n_tokens, frequency) of the phrases in ``short``, of up to a block's tokens.
 
-
-def phrase_counts(
-    tokenised: DataFrame, leads: DataFrame, blocks: DataFrame, longest: int
-) -> DataFrame:
-    """(phrase, url, n_tokens, frequency) of phrases of two tokens or more.
-
-    ``leads`` holds the block lengths to try after two tokens, ``longest`` is the
-    length of the longest phrase.  Counts are combined before they move, and then
-    spread by (phrase, url), so a phrase found everywhere is no single task's work.
+    Counts are combined before they move, and then spread by (phrase, url), so a
+    phrase found everywhere is no single task's work.  Some rows are of runs that
+    are no phrase: the filter let them through.
     """
-    width = min(BLOCK, longest)
-    # Tokens hold no space, so the first n of a joined run are cut off by count.
-    # Single tokens are fetched by place: ``slice`` would copy the whole list.
-    following = F.transform(
-        F.sequence(F.lit(0), F.col("n_tokens") - 1),
-        lambda at: F.concat_ws(" ", *[F.get(F.col("tokens"), at + j) for j in range(width)]),
+    runs = possible_runs(tokenised, short.select(F.col("phrase").alias("block")), lengths)
+    return runs.groupBy(F.col("block").alias("phrase"), "url", "n_tokens").agg(
+        F.count(F.lit(1)).alias("frequency")
     )
 
-    found = (
-        tokenised.where(F.col("n_tokens") > 1)
-        .select("url", "n_tokens", F.posexplode(following).alias("_pos", "_next"))
-        .withColumn("lead", F.substring_index("_next", " ", 2))
-        .join(leads, "lead")
-        .withColumn("_length", F.explode("lengths"))
-        .where(F.col("n_tokens") - F.col("_pos") >= F.col("_length"))
-        .select("url", "n_tokens", "_pos", F.expr("substring_index(_next, ' ', _length)").alias("block"))
-        .join(blocks, "block")
+
+def long_counts(tokenised: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(phrase, url, n_tokens, frequency) of phrases that are cut into ``blocks``."""
+    runs = possible_runs(tokenised, blocks.select("block").distinct(), [BLOCK])
+    start = F.col("pos") - F.col("offset")
+    return (
+        runs.join(blocks, "block")
+        .groupBy("phrase", "url", "n_tokens", "blocks", start.alias("_start"))
+        .agg(F.count(F.lit(1)).alias("_hits"))
+        .where(F.col("_hits") == F.col("blocks"))
+        .groupBy("phrase", "url", "n_tokens")
+        .agg(F.count(F.lit(1)).alias("frequency"))
     )
-    if longest > BLOCK:
-        start = F.col("_pos") - F.col("offset")
-        found = (
-            found.groupBy("phrase", "url", "n_tokens", "blocks", start.alias("_start"))
-            .agg(F.count(F.lit(1)).alias("_hits"))
-            .where(F.col("_hits") == F.col("blocks"))
-        )
-    return found.groupBy("phrase", "url", "n_tokens").agg(F.count(F.lit(1)).alias("frequency"))
 
 
 def score_phrases(tokenised: DataFrame, asked: DataFrame) -> DataFrame:
     """(phrase, url, score) of every document that holds a phrase in ``asked`` (phrase, terms).
 
-    Terms, blocks and leads are at most as many as the phrases' tokens.  While
-    these are few, all three are broadcast and the documents are only scanned.
+    The documents are only scanned, whether phrases are few or many: what moves are
+    the runs that a filter of the phrases lets through, and counts of terms.
     """
     distinct = asked.groupBy("phrase").agg(F.any_value("terms").alias("terms"))
     phrases = materialize(distinct.withColumn("length", F.size("terms")), "phrases")
     size = phrases.agg(
         F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"),
         F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0)).alias("bytes"),
+        F.collect_set(F.when(F.col("length") <= BLOCK, F.col("length"))).alias("lengths"),
         F.coalesce(F.max("length"), F.lit(0)).alias("longest"),
-        F.coalesce(F.min("length"), F.lit(0)).alias("shortest"),
     ).first()
-    hint = F.broadcast if fits_broadcast(size["tokens"], size["bytes"]) else (lambda df: df)
+    few = fits_broadcast(size["tokens"], size["bytes"])
 
-    terms = phrases.select("phrase", F.explode("terms").alias("term"))
-    blocks = phrase_blocks(phrases.where(F.col("length") > 1))
-    leads = blocks.groupBy("lead").agg(F.collect_set("length").alias("lengths"))
     parts = []
-    if size["longest"] > 1:
-        parts.append(phrase_counts(tokenised, hint(leads), hint(blocks), size["longest"]))
-    if size["shortest"] == 1:
-        one_term = phrases.where(F.col("length") == 1).select("phrase")
-        parts.append(term_counts(tokenised, hint(one_term)))
+    if size["lengths"]:
+        parts.append(short_counts(tokenised, phrases.where(F.col("length") <= BLOCK), sorted(size["lengths"])))
+    if size["longest"] > BLOCK:
+        blocks = materialize(phrase_blocks(phrases.where(F.col("length") > BLOCK)), "blocks")
+        parts.append(long_counts(tokenised, F.broadcast(blocks) if few else blocks))
     if not parts:
         return phrases.select("phrase", F.lit("").alias("url"), F.lit(0.0).alias("score"))
     counts = reduce(DataFrame.unionByName, parts)
 
     corpus, mean_length = corpus_size(tokenised).first()
-    wanted = hint(terms.select("term").distinct())
+    terms = phrases.select("phrase", F.explode("terms").alias("term"))
+    # Many terms meet the counts of all, a row for each term, instead of the documents.
+    wanted = F.broadcast(terms.select("term").distinct()) if few else None
     weights = (
         document_frequency(tokenised, wanted)
         .join(terms, "term")
@@ -197,6 +173,7 @@ def score_phrases(tokenised: DataFrame, asked: DataFrame) -> DataFrame:
         .agg(F.sum(idf(F.col("documents"), corpus)).alias("weight"))
     )
     score = bm25(F.col("weight"), F.col("frequency"), F.col("n_tokens"), mean_length)
+    # Only phrases have a weight: here the runs that are none drop out.
     return materialize(
         counts.join(weights, "phrase").select("phrase", "url", score.alias("score")), "hits"
     )
@@ -217,25 +194,32 @@ def search_requests(
 ) -> DataFrame:
     """(request_id, rank, url, score) for each accepted request's page of hits.
 
-    ``requests`` has request_id, q, size and start.  A phrase asked for by many
-    requests is searched once.  Ranks are cut into strips as long as the largest
-    page: a page meets the hits of the two strips it may touch, however many
-    hits there are.  Only then do the requests meet their pages.
+    ``requests`` has request_id, q, size and start.  A text asked for by many
+    requests is split into tokens and searched once.  Ranks are cut into strips as
+    long as the largest page: a page meets the hits of the two strips it may touch,
+    however many hits there are.  Only then do the requests meet their pages.
     """
     # The end of a page must be a number too; no list of hits is so long.
     start = F.least("start", F.lit(LARGEST - MAX_LIMIT)).alias("start")
-    columns = requests.select("request_id", "q", start, "size")
     # Read three times below.
-    asked = materialize(asked_phrases(columns), "asked")
-    page = ["phrase", "start", "size"]
+    asked = materialize(requests.select("request_id", "q", start, "size"), "asked")
+    # Written out, or the test for tokens would be made on every request, before the texts are distinct.
+    texts = materialize(asked.select("q").distinct(), "texts")
+    queries = materialize(asked_phrases(texts), "queries")
+    page = ["q", "start", "size"]
 
     def strip(place: Column) -> Column:
         return floor_div(place, MAX_LIMIT)
 
     last = F.col("start") + F.col("size") - 1
     touched = F.array_distinct(F.array(strip(F.col("start")), strip(last)))
-    pages = asked.select(*page).distinct().withColumn("strip", F.explode(touched))
-    ranked = rank_hits(score_phrases(tokenised, asked), ["phrase"], task_rows)
+    pages = (
+        asked.select(*page)
+        .distinct()
+        .join(queries.select("q", "phrase"), "q")
+        .withColumn("strip", F.explode(touched))
+    )
+    ranked = rank_hits(score_phrases(tokenised, queries), ["phrase"], task_rows)
     shown = pages.join(ranked.withColumn("strip", strip(F.col("rank") - 1)), ["phrase", "strip"]).where(
         (F.col("rank") > F.col("start")) & (F.col("rank") <= F.col("start") + F.col("size"))
     )
