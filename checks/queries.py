@@ -134,7 +134,7 @@ def search_batch(spark, sf_dir):
 @query
 def search_responses(spark, sf_dir):
     documents = materialize(search.tokenise(_documents(spark, sf_dir)), "tokens")
-    checked = requests.search_requests(inputs.search_requests(spark, sf_dir))
+    checked = requests.search_requests(_raw_requests(spark, sf_dir))
     accepted, _ = requests.split_by_status(checked)
     return responses.search_responses(checked, search.search_requests(documents, accepted))
 
